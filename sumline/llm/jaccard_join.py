@@ -36,7 +36,10 @@ from .common import cut, stash
 from .components import components
 from .substring_dedup import estimated_twice, merged_sketch
 
-BINS = 32
+#: Bins of the coarse histogram, which travels with each replica, and of the fine one, which is fetched for pairs.
+BINS, FINE = 32, 256
+#: In regions of up to FEW sets all pairs are bounded at once.
+FEW = 12
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 NEAREST = 4
@@ -88,7 +91,7 @@ def frequency_classes(docs: DataFrame, k: int, log2_cells: int = 20) -> np.ndarr
 
 
 def signatures(docs: DataFrame, k: int, percent: int, log2_cells: int = 20) -> DataFrame:
-    """(doc_id, n, set1, set2, prefix, bins) of each row: size, a 128-bit fingerprint of the set, its first shingles and its histogram."""
+    """(doc_id, n, set1, set2, prefix, bins, fine) of each row: size, a 128-bit fingerprint of the set, its first shingles and its histograms."""
     classes = docs.sparkSession.sparkContext.broadcast(frequency_classes(docs, k, log2_cells))
     shift = np.uint64(64 - log2_cells)
 
@@ -96,7 +99,7 @@ def signatures(docs: DataFrame, k: int, percent: int, log2_cells: int = 20) -> D
         of = classes.value
         for batch in batches:
             for piece, raw, offs in tk.slices(batch, "text"):
-                n, one, two, prefix, bins = [], [], [], [], []
+                n, one, two, prefix, bins, fine = [], [], [], [], [], []
                 for s in _shingle_lists(raw, offs, k):
                     n.append(len(s))
                     one.append(int(np.add.reduce(tk.mix(s + np.uint64(11)), dtype=np.uint64).view(np.int64)))
@@ -106,16 +109,18 @@ def signatures(docs: DataFrame, k: int, percent: int, log2_cells: int = 20) -> D
                     plain = np.flatnonzero(rank == 0)  # ascending by hash already
                     order = plain[:t] if len(plain) >= t else np.lexsort((s, rank))[:t]
                     prefix.append(s[order].view(np.int64))
-                    bins.append(np.minimum(np.bincount((tk.mix(s) >> np.uint64(59)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes())
+                    histogram = np.bincount((tk.mix(s) >> np.uint64(56)).astype(np.int64), minlength=FINE)
+                    fine.append(np.minimum(histogram, 255).astype(np.uint8).tobytes())
+                    bins.append(np.minimum(histogram.reshape(BINS, -1).sum(1), 255).astype(np.uint8).tobytes())
                 ends = np.concatenate(([0], np.cumsum([len(p) for p in prefix]))).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefix) if prefix else np.empty(0, np.int64), pa.int64()))
-                yield pa.record_batch([piece.column("doc_id"), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), lists, pa.array(bins, pa.binary())], names=["doc_id", "n", "set1", "set2", "prefix", "bins"])
+                yield pa.record_batch([piece.column("doc_id"), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), lists, pa.array(bins, pa.binary()), pa.array(fine, pa.binary())], names=["doc_id", "n", "set1", "set2", "prefix", "bins", "fine"])
 
-    return docs.mapInArrow(sign, "doc_id long, n long, set1 long, set2 long, prefix array<long>, bins binary")
+    return docs.mapInArrow(sign, "doc_id long, n long, set1 long, set2 long, prefix array<long>, bins binary, fine binary")
 
 
 def regions(classes: DataFrame, log2_width: int = 25) -> DataFrame:
-    """(pivot, doc, n, bins): each class in the regions that its window reaches, but for regions that hold it alone."""
+    """(pivot, home, doc, n, bins): each class in the regions that its window reaches, but for regions that hold it alone. home: the first of them."""
 
     def fill(batch):
         yield batch.column("prefix").flatten().to_numpy(zero_copy_only=False).view(np.uint64).copy()
@@ -128,92 +133,134 @@ def regions(classes: DataFrame, log2_width: int = 25) -> DataFrame:
             pivots = lists.flatten().to_numpy(zero_copy_only=False)
             own = np.repeat(np.arange(len(batch)), lists.value_lengths().to_numpy(zero_copy_only=False))
             good = np.flatnonzero(estimated_twice(bits.value, pivots.view(np.uint64), log2_width))
-            at = pa.array(own[good])
+            home = np.diff(own[good], prepend=-1) != 0
             for a in range(0, len(good), 50_000):
-                some = at.slice(a, 50_000)
-                yield pa.record_batch([pa.array(pivots[good[a : a + 50_000]]), batch.column("doc_id").take(some), batch.column("n").take(some), batch.column("bins").take(some)], names=["pivot", "doc", "n", "bins"])
-
-    return classes.select("doc_id", "n", "prefix", "bins").mapInArrow(spread, "pivot long, doc long, n long, bins binary")
-
-
-def _bound(bins: np.ndarray, sizes: np.ndarray, i: int, rows: np.ndarray, percent: int) -> np.ndarray:
-    """Which of rows may be within the radius of i: the symmetric difference of linked sets is at most (1 - t) / (1 + t) of their sizes' sum."""
-    off = np.abs(bins[rows].astype(np.int16) - bins[i].astype(np.int16)).sum(1)
-    total = sizes[rows] + sizes[i]
-    fits = 100 * np.minimum(sizes[rows], sizes[i]) >= percent * np.maximum(sizes[rows], sizes[i])
-    return rows[fits & (off * (100 + percent) <= (100 - percent) * total)]
-
-
-def _pairs_of_region(doc, size, bins, root, turn: int, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs to compare in a region whose rows ascend by size."""
-    m = len(doc)
-    reach = lambda i: (int(np.searchsorted(size, -(-percent * size[i] // 100))), int(np.searchsorted(size, 100 * size[i] // percent, "right")))
-    if turn == 1:
-        free = np.ones(m, bool)
-        for i in range(m):
-            if not free[i]:
-                continue
-            free[i] = False
-            cell = _bound(bins, size, i, np.arange(*reach(i)), percent)  # on both sides: earlier cells' members too
-            cell = cell[cell != i]
-            if not len(cell):
-                continue
-            free[cell] = False
-            cell = np.concatenate(([i], cell))
-            mean = bins[cell].astype(np.float32).mean(0)
-            centre = int(cell[np.abs(bins[cell] - mean).sum(1).argmin()])
-            cell = cell[doc[cell] != doc[centre]]
-            yield np.full(len(cell), doc[centre]), doc[cell]
-        return
+                some = pa.array(own[good[a : a + 50_000]])
+                yield pa.record_batch([pa.array(pivots[good[a : a + 50_000]]), pa.array(home[a : a + 50_000]), batch.column("doc_id").take(some), batch.column("n").take(some), batch.column("bins").take(some)], names=["pivot", "home", "doc", "n", "bins"])
+
+    return classes.select("doc_id", "n", "prefix", "bins").mapInArrow(spread, "pivot long, home boolean, doc long, n long, bins binary")
+
+
+def _near(bins_a, bins_b, n_a, n_b, percent: int) -> np.ndarray:
+    """Whether pairs may link: the symmetric difference of linked sets is at most (1 - t) / (1 + t) of their sizes' sum."""
+    off = np.abs(bins_a.astype(np.int16) - bins_b.astype(np.int16)).sum(-1)
+    fits = 100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b)
+    return fits & (off * (100 + percent) <= (100 - percent) * (n_a + n_b))
+
+
+def _cells(doc, size, bins, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Round 1 in a region whose rows ascend by size: pairs of a cell's centre and its members."""
+    free = np.ones(len(doc), bool)
+    for i in range(len(doc)):
+        if not free[i]:
+            continue
+        free[i] = False
+        at = np.arange(i + 1, np.searchsorted(size, 100 * size[i] // percent, "right"))
+        cell = at[_near(bins[at], bins[i], size[at], size[i], percent)]
+        if not len(cell):
+            continue
+        free[cell] = False
+        cell = np.concatenate(([i], cell))
+        centre = int(cell[np.abs(bins[cell] - bins[cell].astype(np.float32).mean(0)).sum(1).argmin()])
+        cell = cell[doc[cell] != doc[centre]]
+        yield np.full(len(cell), doc[centre]), doc[cell]
+
+
+def _across(doc, size, bins, root, every: bool, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rounds 2 and 3 in a large region: pairs of different components, for each set outside the main component its nearest ones or all."""
     values, counts = np.unique(root, return_counts=True)
-    if len(values) == 1:
-        return
     main = values[counts.argmax()]
-    rest = np.flatnonzero(root != main)
-    for i in rest.tolist():
-        a, b = reach(i)
-        near = _bound(bins, size, i, np.arange(a, b), percent)
-        near = near[root[near] != root[i]]
-        near = near[(root[near] == main) | (near > i)] if turn == 3 else near  # each pair once
-        if turn == 2 and len(near) > NEAREST:
-            off = np.abs(bins[near].astype(np.int16) - bins[i].astype(np.int16)).sum(1)
-            near = near[np.argpartition(off, NEAREST)[:NEAREST]]
-        if len(near):
-            yield np.full(len(near), doc[i]), doc[near]
+    for i in np.flatnonzero(root != main).tolist():
+        at = np.arange(np.searchsorted(size, -(-percent * size[i] // 100)), np.searchsorted(size, 100 * size[i] // percent, "right"))
+        at = at[root[at] != root[i]]
+        at = at[_near(bins[at], bins[i], size[at], size[i], percent)]
+        if every:
+            at = at[(root[at] == main) | (at > i)]  # each pair once
+        elif len(at) > NEAREST:
+            off = np.abs(bins[at].astype(np.int16) - bins[i].astype(np.int16)).sum(1)
+            at = at[np.argpartition(off, NEAREST)[:NEAREST]]
+        if len(at):
+            yield np.full(len(at), doc[i]), doc[at]
+
+
+def _pairs_of_regions(edge, doc, size, bins, root, turn: int, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs to compare in whole regions, which start at the rows of edge."""
+    length = np.diff(np.append(edge, len(doc)))
+    mixed = (length > 1) & (np.minimum.reduceat(root, edge) != np.maximum.reduceat(root, edge))
+    small = FEW if turn > 1 else 2
+    for m in range(2, small + 1):
+        first = edge[mixed & (length == m)]
+        for i in range(m):
+            for j in range(i + 1, m):
+                a, b = first + i, first + j
+                good = (root[a] != root[b]) & _near(bins[a], bins[b], size[a], size[b], percent)
+                yield doc[a[good]], doc[b[good]]
+    for a, m in zip(edge[mixed & (length > small)].tolist(), length[mixed & (length > small)].tolist()):
+        of = slice(a, a + m)
+        if turn == 1:
+            yield from _cells(doc[of], size[of], bins[of], percent)
+        else:
+            yield from _across(doc[of], size[of], bins[of], root[of], turn == 3, percent)
 
 
 def _candidate_pairs(spread: DataFrame, turn: int, percent: int) -> DataFrame:
-    """spread: pivot, doc, n, bins, root. Distinct pairs (a, b) to compare."""
+    """spread: pivot, doc, n, bins, root. Distinct pairs (a, b), a < b, to compare."""
 
     def search(batches):
-        key, held = None, []
-
-        def emit():
-            if not held:
-                return
-            doc, n, bins, root = (np.concatenate(x) for x in zip(*held))
-            if len(doc) > 1:
-                found = list(_pairs_of_region(doc, n, bins, root, turn, percent))
-                if found:
-                    a, b = (np.concatenate(x) for x in zip(*found))
-                    yield pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
+        held = None
+
+        def flush(pivot, doc, n, bins, root):
+            found = list(_pairs_of_regions(np.flatnonzero(np.concatenate(([True], pivot[1:] != pivot[:-1]))), doc, n, bins, root, turn, percent))
+            a, b = (np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.int64),) * 2
+            return pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
         for batch in batches:
             if not len(batch):
                 continue
-            pivot = batch.column("pivot").to_numpy()
-            doc, n, root = (batch.column(c).to_numpy() for c in ("doc", "n", "root"))
-            bins = np.frombuffer(b"".join(batch.column("bins").to_pylist()), np.uint8).reshape(-1, BINS)
-            edge = np.concatenate(([0], np.flatnonzero(np.diff(pivot)) + 1, [len(pivot)]))
-            for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
-                if pivot[a] != key:
-                    yield from emit()
-                    key, held = pivot[a], []
-                held.append((doc[a:b], n[a:b], bins[a:b], root[a:b]))
-        yield from emit()
+            cols = [batch.column(c).to_numpy() for c in ("pivot", "doc", "n")]
+            cols += [np.frombuffer(b"".join(batch.column("bins").to_pylist()), np.uint8).reshape(-1, BINS), batch.column("root").to_numpy()]
+            if held is not None:
+                cols = [np.concatenate(x) for x in zip(held, cols)]
+            last = int(np.searchsorted(cols[0], cols[0][-1]))  # the last region may go on in the next batch
+            if last:
+                yield flush(*(c[:last] for c in cols))
+            held = [c[last:] for c in cols]
+        if held is not None:
+            yield flush(*held)
 
     pairs = spread.repartition("pivot").sortWithinPartitions("pivot", "n", "doc").mapInArrow(search, "a long, b long")
-    return pairs.filter("a <> b").select(F.col("a"), F.col("b")).distinct()
+    return pairs.filter("a < b").distinct()
+
+
+def _closer(pairs: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
+    """Those of pairs that may link by their fine histograms."""
+
+    def prune(batches):
+        for batch in batches:
+            if len(batch):
+                one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, FINE) for c in ("fine_a", "fine_b"))
+                keep = np.concatenate([_near(one[i : i + 8192], two[i : i + 8192], *(batch.column(c).to_numpy()[i : i + 8192] for c in ("n_a", "n_b")), percent) for i in range(0, len(batch), 8192)])
+                yield pa.record_batch([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep))
+
+    fine = lambda x: heads.select(F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("fine").alias(f"fine_{x}"))
+    return pairs.join(fine("b"), "b").join(fine("a"), "a").mapInArrow(prune, "a long, b long").distinct()
+
+
+def _texts_of(docs: DataFrame, pairs: DataFrame, log2_width: int = 23) -> DataFrame:
+    """docs that stand in pairs. A Bloom filter of fixed size keeps most others out of the shuffle."""
+    wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    hashed = lambda c: tk.mix(c.to_numpy(zero_copy_only=False).view(np.uint64))
+
+    def fill(batch):
+        yield np.repeat(hashed(batch.column("doc_id")), 2)  # a cell counted twice is a bit that is set
+
+    bits = docs.sparkSession.sparkContext.broadcast(merged_sketch(wanted, fill, log2_width))
+
+    def sieve(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(estimated_twice(bits.value, hashed(batch.column("doc_id")), log2_width)))
+
+    return docs.filter("doc_id is not null").mapInArrow(sieve, docs.schema).join(wanted, "doc_id", "left_semi").distinct()
 
 
 def _linked(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -228,12 +275,9 @@ def _linked(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
                 a, theirs = part.column("text_a"), _shingle_lists(raw, offs, k)
                 for i, s in enumerate(theirs):
                     text = a[i].as_py()
-                    if text is not last and text != last:
+                    if text != last:
                         data = np.frombuffer(text.encode(), np.uint8)
                         last, mine = text, next(_shingle_lists(data, np.array([0, len(data)]), k))
-                    if 100 * min(len(s), len(mine)) < percent * max(len(s), len(mine)):
-                        keep.append(False)
-                        continue
                     at = np.searchsorted(mine, s)
                     both = int((mine[np.minimum(at, len(mine) - 1)] == s).sum()) if len(mine) else 0
                     keep.append(both > 0 and 100 * both >= percent * (len(s) + len(mine) - both))
@@ -251,27 +295,27 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, log2_widt
     member = some.select("doc_id", "set1", "set2", "n").join(least, ["set1", "set2", "n"]).select("doc_id", "head").distinct()
     member = stash(member, "jaccard-classes")
     heads = some.join(member.filter("doc_id = head").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id", "set1", "set2", "n"])
+    heads = stash(heads, "jaccard-heads")
     spread = stash(regions(heads, log2_width), "jaccard-regions")
-
-    pairs = stash(_candidate_pairs(spread.withColumn("root", F.col("doc")), 1, percent), "jaccard-pairs")
-    wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = stash(docs.join(wanted, "doc_id", "left_semi").distinct(), "jaccard-texts")
     # Rows of one id are one node: each is tied to the heads of all its rows' classes.
     ties = member.filter("doc_id <> head").select(F.col("doc_id").alias("a"), F.col("head").alias("b"))
-    links, tried = cut(_linked(pairs, texts, k, percent)), pairs
-    rooted = cut(components(links))
-    for turn in (2, 3):
-        labelled = spread.join(rooted, spread.doc == rooted.node, "left").select("pivot", "doc", "n", "bins", F.coalesce("root", "doc").alias("root"))
-        more = _candidate_pairs(labelled, turn, percent)
-        done = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        more = cut(more.join(done, ["a", "b"], "left_anti"))
-        if not more.isEmpty():
-            found = cut(_linked(more, texts, k, percent))
-            tried = tried.unionByName(more)
-            if not found.isEmpty():
-                links = links.unionByName(found)
-                rooted = cut(components(links))
-    node_root = cut(components(links.unionByName(ties)))
+    links = tried = rooted = None
+    for turn in (1, 2, 3):
+        rows = spread.filter("home") if turn == 1 else spread
+        if rooted is None:
+            labelled = rows.withColumn("root", F.col("doc"))
+        else:
+            labelled = rows.join(rooted, rows.doc == rooted.node, "left").select("pivot", "doc", "n", "bins", F.coalesce("root", "doc").alias("root"))
+        pairs = _candidate_pairs(labelled, turn, percent)
+        pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        close = cut(_closer(pairs, heads, percent))
+        if not close.isEmpty():
+            found = cut(_linked(close, _texts_of(docs, close), k, percent))
+            links = found if links is None else links.unionByName(found)
+            rooted = cut(components(links))
+    links = ties if links is None else links.unionByName(ties)
+    node_root = cut(components(links))
     roots = node_root.select(F.col("node").alias("__node"), "root")
     sizes = signed.select("doc_id", F.col("n").alias("n_shingles"))
     return sizes.join(roots, F.col("doc_id") == F.col("__node"), "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))

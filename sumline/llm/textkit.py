@@ -19,7 +19,7 @@ _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MASK = (1 << 64) - 1
 BASES = (0x9E3779B97F4A7C15 | 5, 0xD1B54A32D192ED03 | 5, 0x8CB92BA72F3D8DD7 | 5)
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 _HASH_BYTES = 1 << 20
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
