@@ -105,9 +105,10 @@ def fit_space(docs: DataFrame, items: Items, rank: int = RANK, seed: int = 5) ->
     def multiply(batches):
         items, omega = held.value
         table = items.table()
+        wide_omega = np.vstack([omega, np.zeros((1, omega.shape[1]), np.float32)])
         gram, counts, total = np.zeros(omega.shape, np.float64), np.zeros(n, np.int64), 0
         for batch in batches:
-            for _, raw, offs in tk.slices(batch, "text", 4 << 20):
+            for _, raw, offs in tk.slices(batch, "text", 1 << 20):
                 w, first = _slice_words(raw, offs)
                 total += len(w)
                 f = items.features(w, table)
@@ -118,8 +119,11 @@ def fit_space(docs: DataFrame, items: Items, rank: int = RANK, seed: int = 5) ->
                 counts += np.bincount(f, minlength=n)
                 passage = (known - first[own]) // BLOCK + first[own]  # ascending, and of one text each
                 edge = np.flatnonzero(np.diff(passage, prepend=-1))
-                nth = np.repeat(np.arange(len(edge)), np.diff(np.append(edge, len(f))))
-                y = np.add.reduceat(omega[f], edge, axis=0)
+                length = np.diff(np.append(edge, len(f)))
+                nth = np.repeat(np.arange(len(edge)), length)
+                padded = np.full((len(edge), BLOCK), n, np.int32)
+                padded[nth, np.arange(len(f)) - edge[nth]] = f
+                y = np.concatenate([wide_omega[padded[a : a + 256]].sum(1) for a in range(0, len(edge), 256)])
                 order = np.argsort(f, kind="stable")
                 g = f[order]
                 turn = np.flatnonzero(np.diff(g, prepend=-1))
@@ -193,39 +197,65 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, max_features: int = 2_000_0
         for f in items.words:
             once = np.unique(f)
             answers.append(set(once[np.argsort(-space.idf[once], kind="stable")][: max(3, len(once) // 3)].tolist()))
+        most = max(map(len, answers))
+        asked = np.array([sorted(x) + [len(space.idf)] * (most - len(x)) for x in answers])
+        asked_by_place, longest = np.ascontiguousarray(asked.T), np.array([len(x) for x in answers])
+        half = np.array([(len(x) + 1) // 2 for x in answers])
         vectors = np.stack([space.basis[f].sum(0) for f in items.words])
         vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
         weight = np.append(space.idf, space.other)
+        basis = np.vstack([space.basis, np.zeros((1, space.basis.shape[1]), np.float32)])  # other words, feature -1, add nothing
 
         def found(f, first):
             """Hits by text: {(text, item): row}."""
             out: dict = {}
-            known = f >= 0
-            mass = np.concatenate(([0.0], np.cumsum(weight[f])))
-            mine = np.concatenate(([0.0], np.cumsum(np.where(known, weight[f], 0.0))))
+            # A window's share of benchmark words is COVER or more where this sum does not fall over it.
+            gain = weight[f] * np.where(f >= 0, 1 - COVER, -COVER)
+            gain = np.concatenate(([0.0], np.cumsum(gain)))
             own = tk.owners(first)
             at = np.arange(len(f))
             at = at[(at - first[own]) % STEP == 0]
-            last = first[own[at] + 1]
+            last, before = first[own[at] + 1], gain[at]
+            chosen, used = [], np.zeros(len(at) + 1, np.int32)
             for size, members in scales.items():
-                end = np.minimum(at + size, last)
-                share = (mine[end] - mine[at]) / np.maximum(mass[end] - mass[at], 1e-12)
+                rows = np.flatnonzero(gain[np.minimum(at + size, last)] >= before)
+                begin, final = at[rows], last[rows]
                 # A window cut short by the text's end is the last that reaches it.
-                rows = np.flatnonzero((share >= COVER) & ((end - at == size) | (at == first[own[at]]) | (at + size - last < STEP)))
-                for a in range(0, len(rows), 4096):
-                    some = rows[a : a + 4096]
-                    begin, stop = at[some], end[some]
-                    span = begin[:, None] + np.arange(size)[None, :]
-                    inside = span < stop[:, None]
-                    feature = np.where(inside, f[np.minimum(span, len(f) - 1)], -1)
-                    latent = np.zeros((len(some), space.basis.shape[1]), np.float32)
-                    for c in range(size):
-                        good = feature[:, c] >= 0
-                        latent[good] += space.basis[feature[good, c]]
-                    latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
-                    near = latent @ vectors[members].T >= COSINE
-                    for r, m in zip(*np.nonzero(near)):
-                        k = members[m]
+                whole = (begin + size <= final) | (begin == first[own[begin]]) | (begin + size - final < STEP)
+                rows, begin, final = rows[whole], begin[whole], final[whole]
+                stop = np.minimum(begin + size, final)
+                after = rows + (stop - begin + STEP - 1) // STEP
+                np.add.at(used, rows, 1)
+                np.add.at(used, after, -1)
+                chosen.append((size, members, begin, stop, final, rows, after))
+            # Running sums of latent vectors, by steps, over the steps of chosen windows alone.
+            used = np.cumsum(used)[:-1] > 0
+            place = np.concatenate(([0], np.cumsum(used)))
+            steps, sums = np.zeros((place[-1], basis.shape[1]), np.float32), np.zeros((place[-1] + 1, basis.shape[1]))
+            for c in range(STEP):
+                word = at[used] + c
+                steps += basis[np.where(word < last[used], f[np.minimum(word, len(f) - 1)], -1)]
+            np.cumsum(steps, axis=0, out=sums[1:])
+            for size, members, begins, stops, finals, rows, after in chosen:
+                margin = STEP + size // 8
+                for a in range(0, len(begins), 2048):
+                    begin, stop, final = begins[a : a + 2048], stops[a : a + 2048], finals[a : a + 2048]
+                    latent = sums[place[after[a : a + 2048]]] - sums[place[rows[a : a + 2048]]]
+                    latent = (latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)).astype(np.float32)
+                    row, member = np.nonzero(latent @ vectors[members].T >= COSINE)
+                    # The answer check on a window that holds each item's own, all pairs at once.
+                    wide = np.clip(begin[:, None] + np.arange(-margin, size + margin), first[own[begin]][:, None], final[:, None] - 1)
+                    across = len(space.idf) + 1
+                    said = np.zeros(len(begin) * across, np.uint8)
+                    line = np.arange(len(begin)) * across
+                    said[(line[:, None] + np.where(f[wide] < 0, across - 1, f[wide])).ravel()] = 1
+                    said[line + across - 1] = 0
+                    item_of, at_line = np.array(members)[member], line[row]
+                    answered = np.zeros(len(row), np.uint8 if most < 256 else np.int32)
+                    for c in range(int(longest[members].max())):
+                        answered += said.take(asked_by_place[c].take(item_of) + at_line)
+                    good = answered >= half[item_of]
+                    for r, k in zip(row[good].tolist(), item_of[good].tolist()):
                         doc = int(own[begin[r]])
                         if (doc, k) in out:
                             continue
@@ -241,7 +271,7 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, max_features: int = 2_000_0
             return out
 
         for batch in batches:
-            for piece, raw, offs in tk.slices(batch, "text", 4 << 20):
+            for piece, raw, offs in tk.slices(batch, "text", 2 << 20):
                 w, first = _slice_words(raw, offs)
                 hits = [[] for _ in range(len(piece))]
                 if len(w):
