@@ -1,10 +1,5 @@
 """The queries that the driver runs, and DuckDB SQL for them."""
 
-from __future__ import annotations
+from .plans.queries import ORACLES, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
