@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +27,13 @@ def settle(df: DataFrame) -> DataFrame:
     return df.filter(F.rand() >= 0)
 
 
+def keep(df: DataFrame) -> DataFrame:
+    """df persisted (memory, then disk). What is read from tables feeds several consumers, and behind a persisted
+    result the optimiser doesn't compare its nested lambdas with the consumers' filters, which takes it minutes.
+    The caller may unpersist it; lost blocks are computed again."""
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def _strip(x: Column) -> Column:
     return F.regexp_replace(x, _SPACES, "")
 

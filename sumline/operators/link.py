@@ -28,13 +28,14 @@ def series(tables: DataFrame) -> DataFrame:
     return cells.groupBy("table_id", "file", "table_ord", "kind", "key", "year").agg(F.first("label").alias("label"), F.max_by("value", "at").alias("value"), F.min("at").alias("at"))
 
 
-def cross_year(items: DataFrame) -> DataFrame:
+def cross_year(items: DataFrame, by: list[str] | None = None) -> DataFrame:
     """For each table the best-covered check of a shared year against a later table of another file:
-    table_id, vs, year, checked, mismatch, verdict, worst (three, by difference)."""
+    table_id, vs, year, checked, mismatch, verdict, worst (three, by difference). by: columns, as the company, that tables must share."""
+    by = by or []
     own = items.filter(F.col("kind").isin(P.STATEMENTS) & F.col("year").between(P.FIRST_YEAR, P.LAST_YEAR))
-    a = own.select("kind", "key", "year", F.col("table_id").alias("a_id"), F.col("file").alias("a_file"), F.col("table_ord").alias("a_ord"), F.col("value").alias("va"))
-    b = own.select("kind", "key", "year", F.col("table_id").alias("b_id"), F.col("file").alias("b_file"), F.col("table_ord").alias("b_ord"), F.col("value").alias("vb"))
-    pairs = a.join(b, ["kind", "key", "year"]).filter("a_ord < b_ord and a_file <> b_file")
+    a = own.select(*by, "kind", "key", "year", F.col("table_id").alias("a_id"), F.col("file").alias("a_file"), F.col("table_ord").alias("a_ord"), F.col("value").alias("va"))
+    b = own.select(*by, "kind", "key", "year", F.col("table_id").alias("b_id"), F.col("file").alias("b_file"), F.col("table_ord").alias("b_ord"), F.col("value").alias("vb"))
+    pairs = a.join(b, [*by, "kind", "key", "year"]).filter("a_ord < b_ord and a_file <> b_file")
     off = F.abs(F.col("va") - F.col("vb"))
     bad = off > F.greatest(F.lit(2.0), F.abs("va") * 1e-4)
     by_pair = pairs.groupBy("a_id", "b_id", "a_ord", "b_ord", "year").agg(F.count("*").alias("checked"), F.count(F.when(bad, 1)).alias("mismatch"), F.slice(F.sort_array(F.collect_list(F.when(bad, F.struct(off.alias("off"), "key", "va", "vb"))), asc=False), 1, 3).alias("worst"))

@@ -26,7 +26,7 @@ def search(pages: DataFrame, words: str, page: str, text: str, max_hits: int = 3
         return pages.select(F.col(page).alias("page"), F.lit(0).alias("hits"), F.lit("").alias("snippet")).filter("false")
     at = F.instr(low, needle)
     begin = F.greatest(at - around, F.lit(1))
-    found = pages.filter(at > 0).select(F.col(page).alias("page"), F.regexp_count(low, F.lit(re.escape(needle))).alias("hits"), F.substr(F.col(text), begin, at - begin + len(needle) + around).alias("snippet"))
+    found = pages.filter(at > 0).select(F.col(page).alias("page"), F.regexp_count(low, F.lit(re.escape(needle))).alias("hits"), F.substr(text, begin, at - begin + len(needle) + around).alias("snippet"))
     return found.orderBy("page").limit(max_hits)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.numbers import coerce_cell, formatted, normspace, parse_number
+from ..functions.numbers import coerce_cell, formatted, keep, normspace, parse_number
 from ..functions.text import doc_years, norm_label, selection, years_in
 from ..operators import edits, geometry, health, link, score, search, statements
 from ..operators.footing import foot
@@ -173,7 +173,7 @@ def foot_explain(spark, sf_dir):
 
 @query(_BASE + """
 select kind, count(*) as tables, cast(sum(n) as bigint) as value_cols, min(d) as data_start, max(t) as total_rows from rep,
-  (values ('income statement', 2, 1, 4), ('statement of financial position', 2, 1, 5), ('statement of cash flows', 2, 1, 3), ('statement of changes in equity', 2, 1, 2)) as k(kind, n, d, t) group by kind
+  (values ('income statement', 2, 1, 3), ('statement of financial position', 2, 1, 5), ('statement of cash flows', 2, 1, 5), ('statement of changes in equity', 2, 1, 2)) as k(kind, n, d, t) group by kind
 """)
 def read_kinds(spark, sf_dir):
     """What is read from all four statements: kind, value columns, first row of data, total rows."""
@@ -229,15 +229,16 @@ select nation || '-' || year as table_id, nation || '-' || vs as vs, shared as y
 """)
 def cross_year_verdict(spark, sf_dir):
     """Each report's current year against the next report's prior year."""
-    tables = foot(_read(spark, sf_dir, "income", restate=True))
-    return link.cross_year(link.series(tables)).select("table_id", "vs", F.col("year").cast("long").alias("year"), "checked", "mismatch", "verdict")
+    tables = keep(foot(_read(spark, sf_dir, "income", restate=True)))
+    items = link.series(tables).withColumn("nation", F.split("table_id", "-")[0])
+    return link.cross_year(items, ["nation"]).select("table_id", "vs", F.col("year").cast("long").alias("year"), "checked", "mismatch", "verdict")
 
 
 @query(_BASE + """
 select nation || '-' || year as table_id, cast(8 as bigint) as keys, revenue from rep
 """)
 def line_series(spark, sf_dir):
-    items = link.series(foot(_read(spark, sf_dir, "income", restate=True)))
+    items = link.series(keep(foot(_read(spark, sf_dir, "income", restate=True))))
     newest = F.max(F.when(F.col("key") == "revenue", F.struct("year", "value")))
     return items.groupBy("table_id").agg(F.count_distinct("key").alias("keys"), newest["value"].cast("long").alias("revenue"))
 
@@ -250,7 +251,7 @@ where key in ('revenue', 'gross profit', 'other income')
 """)
 def report_diff(spark, sf_dir):
     """A report against the one of the year before; one line has another name in it."""
-    items = link.series(foot(_read(spark, sf_dir, "income", restate=True)))
+    items = link.series(keep(foot(_read(spark, sf_dir, "income", restate=True))))
     split = F.split("table_id", "-")
     items = items.withColumn("nation", split[0].cast("int")).withColumn("report", split[1].cast("int"))
     a = items.withColumn("key", F.when(F.col("key") == "gross profit", "other income").otherwise(F.col("key"))).withColumn("year_of", F.col("report"))
@@ -265,7 +266,7 @@ def matched_tables(spark, sf_dir):
     """Statements of neighbouring years paired by kind and title; greedy, so tested by hand-made cases."""
     tables = None
     for what in reports.TITLES:
-        one = _read(spark, sf_dir, what).select("table_id", "kind", "title", F.lit(list(reports.TITLES).index(what)).alias("table_ord"))
+        one = keep(_read(spark, sf_dir, what).select("table_id", "kind", "title")).select("*", F.lit(list(reports.TITLES).index(what)).alias("table_ord"))
         tables = one if tables is None else tables.unionByName(one)
     split = F.split("table_id", "-")
     tables = tables.withColumn("report", F.concat_ws("-", split[0], split[1])).withColumn("table_id", F.concat_ws("/", "table_id", "kind"))
@@ -279,7 +280,7 @@ def page_breaks(spark, sf_dir):
     cells = reports.report_cells(spark, sf_dir, "balance", restate=True)
     rest = F.col("row_idx") > 5
     cells = cells.withColumn("table_id", F.when(rest, F.concat("table_id", F.lit("+"))).otherwise(F.col("table_id"))).withColumn("table_ord", F.when(rest, 2).otherwise(1)).withColumn("page", F.when(rest, 2).otherwise(1)).withColumn("title", F.when(rest, "").otherwise(F.col("title")))
-    return link.continuations(statements.read_tables(statements.assemble(cells)))
+    return link.continuations(keep(statements.read_tables(statements.assemble(cells))))
 
 
 # --- geometry ----------------------------------------------------------------------------------
@@ -461,5 +462,5 @@ def page_years(spark, sf_dir):
 
 @query(_BASE + "select nation || '-' || year as table_id, 'statement' as shape from rep")
 def inventory(spark, sf_dir):
-    tables = foot(_read(spark, sf_dir, "income", restate=True))
+    tables = keep(foot(_read(spark, sf_dir, "income", restate=True)))
     return search.inventory(tables.withColumn("shape", search.shape(F.col("rows"), F.col("kind")))).select("table_id", "shape")

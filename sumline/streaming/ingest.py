@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.numbers import keep
 from ..operators.footing import foot
 from ..operators.health import with_health
 from ..operators.statements import assemble, read_tables
@@ -18,7 +19,7 @@ def ingest(spark: SparkSession, source: str, target: str, checkpoint: str, once:
     overwritten when the batch is repeated."""
 
     def batch(cells: DataFrame, number: int) -> None:
-        done = with_health(foot(read_tables(assemble(cells)))).select("table_id", "file", "page", "title", "kind", "years", "foots", "foot_by_col", "health")
+        done = with_health(keep(foot(read_tables(assemble(cells))))).select("table_id", "file", "page", "title", "kind", "years", "foots", "foot_by_col", "health")
         done.write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     writer = spark.readStream.schema(CELLS).parquet(source).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
