@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import decision_lists, decontamination, jaccard_join, pii, reply_trees, sharding, source_mixing, substring_dedup, token_counts, warc
 from .common import read_table as table
+from .oracles import ORACLES as ORACLES
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,5 +55,3 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_source_mixing, op3_decontamination, op4_pii, op5_token_counts, op6_warc, op7_reply_trees, op8_decision_lists, op9_sharding, op10_jaccard_join)}
-
-ORACLES = {"op7_reply_trees": reply_trees.DIGEST_SQL}
