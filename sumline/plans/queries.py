@@ -298,13 +298,13 @@ def gap_groups(spark, sf_dir):
 
 
 @query("""
-with e as (select p_brand, p_size, case when p_size - lag(p_size) over (partition by p_brand order by p_size) > 1 then 1 else 0 end as n from (select distinct p_brand, p_size from part where p_size % 4 <> 3)),
+with e as (select p_brand, p_size, case when p_size - lag(p_size) over (partition by p_brand order by p_size) > 20 then 1 else 0 end as n from (select distinct p_brand, p_size * p_size as p_size from part)),
 g as (select p_brand, grp, avg(p_size) as lo from (select *, sum(n) over (partition by p_brand order by p_size rows unbounded preceding) as grp from e) group by 1, 2)
 select p_brand, cast(grp as integer) as band, round(lo * 1000)::bigint as lo, round(hi * 1000)::bigint as hi from (select *, lead(lo) over (partition by p_brand order by grp) as hi from g) where hi is not null
 """)
 def edge_bands(spark, sf_dir):
-    edges = read(spark, sf_dir, "part").filter("p_size % 4 <> 3").select("p_brand", F.col("p_size").cast("double").alias("x")).distinct()
-    out = geometry.edge_bands(edges, ["p_brand"], "x", 1.0)
+    edges = read(spark, sf_dir, "part").select("p_brand", (F.col("p_size") * F.col("p_size")).cast("double").alias("x")).distinct()
+    out = geometry.edge_bands(edges, ["p_brand"], "x", 20.0)
     return out.select("p_brand", "band", F.round(F.col("lo") * 1000).cast("long").alias("lo"), F.round(F.col("hi") * 1000).cast("long").alias("hi"))
 
 
@@ -368,7 +368,7 @@ def kept_boxes(spark, sf_dir):
 @query()
 def lines_of_words(spark, sf_dir):
     """Words to lines by their first word's height; sequential, so tested by hand-made pages."""
-    li = read(spark, sf_dir, "lineitem").filter("l_orderkey % 1 = 0")
+    li = read(spark, sf_dir, "lineitem")
     words = li.select(F.col("l_suppkey").cast("string").alias("file"), F.month("l_shipdate").alias("page"), F.concat_ws("/", "l_orderkey", "l_linenumber").alias("text"), (F.col("l_partkey") % 500).cast("double").alias("x0"), (F.col("l_partkey") % 500 + 20).cast("double").alias("x1"), (F.col("l_orderkey") % 700).cast("double").alias("top"))
     return geometry.build_lines(words).groupBy("file", "page").agg(F.count_distinct("line_id").alias("lines"), F.count("*").alias("words"))
 
