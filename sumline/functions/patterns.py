@@ -75,3 +75,47 @@ LABEL_ALIASES = {
 }
 STATEMENTS = ["income statement", "statement of financial position", "statement of cash flows", "statement of changes in equity"]
 FIRST_YEAR, LAST_YEAR = 1990, 2035
+BARE_CURRENCY = r"^([$£€¥]\(?|\()$"
+YEAR_TOKEN, YEAR_CONNECTOR = r"^\s*(19|20)\d{2}\s*$", r"(?i)^\s*[a-z]{2,10}\s*$"
+GLUED_SECTION = (
+    r"(?i)^(total\b[a-z\s/-]*?(?:assets|liabilities|equity)|net (?:current )?assets)\s+"
+    r"((?:current|non[- ]?current|equity|liabilities|assets|represented)\b.*)$"
+)
+AUDITOR_PROSE = (
+    r"(?i)we have audited|in our opinion|the consolidated financial statements|"
+    r"material misstatement|reasonable assurance|internal control|"
+    r"responsibilit|going concern|board of directors|signed on|"
+    r"pricewaterhousecoopers|\bkpmg\b|\bdeloitte\b|ernst\s*&\s*young|\bey\b|"
+    r"registered auditor|audit (evidence|opinion|procedures)|"
+    r"united arab emirates federal law|articles of association|"
+    r"whose report dated|expressed an unqualified"
+)
+LINE_AT_END = (
+    r"(?i)(?:^|\s)((?:total|net)\b[\w\s'’/()-]{2,45}"
+    r"(?:assets|liabilities|equity|current assets|current liabilities|profit|income|expenses))\s*$"
+)
+PHRASE_AT_END = r"([A-Z][A-Za-z][\w\s'’/&()-]{2,40})\s*$"
+LINE_AT_START = r"^((?:total|net|gross|share|retained|current|non-current)[\w\s'’/()-]{2,45}?)(?:\s+[A-Z][a-z]+.*|$)"
+LINE_IN_MIDDLE = (
+    r"(?i)\b((?:total )?(?:non-current|current) (?:assets|liabilities)"
+    r"|trade (?:and other )?(?:receivables|payables)"
+    r"|due (?:from|to) (?:a )?related part(?:y|ies)"
+    r"|property,? plant and equipment|cash and (?:cash equivalents|bank balances)"
+    r"|share (?:capital|premium)|retained earnings|other reserves"
+    r"|(?:total )?(?:non-current )?(?:current )?"
+    r"(?:borrowings|provisions|inventories|deferred (?:tax|fees|revenue))"
+    r"|employee benefits|net current assets)\b"
+)
+THREE_LONG_WORDS = r"[a-z]{4,}\s+[a-z]{4,}\s+[a-z]{4,}"
+TRAILING_NOTE = r"\s+\d{1,2}(\.\d+)?(\s*,\s*\d{1,2}(\.\d+)?)*\s*(\([a-z0-9]{1,3}\)|\)[a-z0-9]{1,3}\()?\s*$"
+LEADING_NOTE = r"^\s*\d{1,2}\s+(?=[\d()\-–])"
+NOTE_MARK = r"(?i)^[)(]?[a-z0-9]{1,3}[)(]?$"
+UNIT_CELL = r"(?i)^(\(?(19|20)\d\d\)?|(AED|USD|EGP|SAR)\s*['’]?\s*000|(31\s+december|december\s+31)(\s+\d{4})?|notes?)$"
+NUMBER_TOKEN = r"\)-?[\d,]+(?:\.\d+)?\(%?|\(?-?[\d,]+(?:\.\d+)?\)?%?|[-–—�]"
+REVERSED_WRAP = r"^\)\s*([\d,]+(?:\.\d+)?)\s*\n\s*([\d,]+(?:\.\d+)?)\s*\(\s*$"
+STATEMENT_STARTS = [
+    r"total assets\b|total liabilities\b|net assets\b",
+    r"balance at \d|transactions with (the )?owners|total comprehensive income for the year",
+    r"cost of sales\b|gross profit\b",
+    r"cash flows? from operating activities|cash and cash equivalents at (the )?end",
+]
