@@ -260,7 +260,7 @@ def _texts_of(docs: DataFrame, pairs: DataFrame, log2_width: int = 23) -> DataFr
         for batch in batches:
             yield batch.filter(pa.array(estimated_twice(bits.value, hashed(batch.column("doc_id")), log2_width)))
 
-    return docs.filter("doc_id is not null").mapInArrow(sieve, docs.schema).join(wanted, "doc_id", "left_semi").distinct()
+    return docs.filter("doc_id is not null and text is not null").mapInArrow(sieve, docs.schema).join(wanted, "doc_id", "left_semi").distinct()
 
 
 def _linked(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:

@@ -70,6 +70,14 @@ def test_odd_tables(spark):
     assert jaccard_components(df.filter("false"), log2_width=16).count() == 0
 
 
+def test_repeated_id_without_text(spark):
+    words = [f"w{i}" for i in range(60)]
+    near = words[:57] + ["x", "y", "z"]
+    rows = [(1, " ".join(words)), (1, None), (2, " ".join(near)), (2, None), (2, ""), (3, None)]
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), log2_width=16).collect()))
+    assert got == [(1, 0, 1), (1, 58, 1), (2, 0, 1), (2, 0, 1), (2, 58, 1), (3, 0, 3)]
+
+
 def test_components(spark):
     r = np.random.Generator(np.random.PCG64(0))
     path = [(i, i + 1) for i in range(100, 140)]
