@@ -10,6 +10,9 @@ posteriors by vote, length and digit share (again a bounded table of counts), an
 Spark expression. Spans of the base rules always stand; the classifier adds others whose score is
 THRESHOLD or more.
 
+A secret is a name, = or : and a value, with or without blanks and quotes around the sign and the
+value; its span runs from the name to the value's closing quote.
+
 Offsets come from the lengths of the pieces between matches, summed by a window over one
 document's matches, so that the work is linear in the number of matches.
 
@@ -31,6 +34,16 @@ CONTEXT = 24
 THRESHOLD = 0.9
 BASE = ["email", "ip", "card", "phone"]
 KINDS = [*BASE, "local_phone", "secret"]
+_KEY = r"(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)"
+_NAME, _VALUE = r"[A-Za-z][A-Za-z0-9_-]{0,30}+", r"[A-Za-z0-9+/_-]{8,200}+"
+#: Between a secret's name and its value: = or :, with blanks around it and the name's closing quote.
+_SIGN = r"[\"']?[ \t]*+[=:][ \t]*+"
+#: name=value; else with blanks or quotes, where a known name's value is taken as it stands, and any other name's only if it isn't itself
+#: the name of a value ("note: token = ..."). No form takes a known name for a value.
+_SECRET = (
+    rf"(?<![A-Za-z0-9_-])(?:{_NAME}[=:](?!(?i:{_KEY}){_SIGN}){_VALUE}"
+    rf"|(?:(?i:{_KEY}){_SIGN}(?![\"']?(?i:{_KEY}){_SIGN})|{_NAME}{_SIGN}(?![\"']?{_NAME}{_SIGN}[\"']?[A-Za-z0-9+/_-]{{8}}))(?:[\"']{_VALUE}[\"']?|{_VALUE}))"
+)
 #: Possessive loops and look-behinds keep matching linear; they match what the plain patterns match.
 PATTERN = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -38,7 +51,7 @@ PATTERN = {
     "card": r"[0-9](?:[ -]?[0-9])++",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
     "local_phone": r"(?<![+0-9(). -])(?: )?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9.-])",
-    "secret": r"(?<![A-Za-z0-9_-])[A-Za-z][A-Za-z0-9_-]{0,30}+[=:][A-Za-z0-9+/_-]{8,200}+",
+    "secret": _SECRET,
 }
 #: A cheap look before the pattern runs.
 HINT = {
@@ -47,7 +60,7 @@ HINT = {
     "card": lambda t: t.rlike(r"[0-9][ -]?[0-9]"),
     "phone": lambda t: t.rlike(r"\+[0-9]"),
     "local_phone": lambda t: t.rlike(r"[0-9][ .-][0-9]{4}"),
-    "secret": lambda t: t.rlike(r"[=:][A-Za-z0-9]"),
+    "secret": lambda t: t.rlike(r"[=:][ \t]*+[\"']?[A-Za-z0-9+/_-]{8}"),
 }
 #: Common mail and host endings, card prefixes, dialling prefixes, names of keys.
 GAZETTEER = {
@@ -56,7 +69,7 @@ GAZETTEER = {
     "card": r"^(4|5[1-5]|2[2-7]|3[47]|6011|65)",
     "phone": r"^\+(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])",
     "local_phone": r"555|^[ (]*(2|3|4|5|6|7|8|9)[0-9]{2}",
-    "secret": r"(?i)^(password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)[=:]",
+    "secret": rf"(?i)^{_KEY}{_SIGN}",
 }
 WORDS_BEFORE = {
     "email": r"(mail|contact|write|address|kontakt|courriel|correo)",
@@ -120,7 +133,7 @@ def labelled(found: DataFrame) -> DataFrame:
     kind, match = F.col("kind"), F.col("found")
     digits = F.length(_digits(match))
     share = (F.least(F.lit(3), F.floor(digits * 4 / F.greatest(F.lit(1), F.char_length(match))))).cast("int")
-    value = F.regexp_extract(match, r"[=:](.*)$", 1)
+    value = F.regexp_extract(match, r"[=:][ \t]*[\"']?([A-Za-z0-9+/_-]*)", 1)
 
     def by_kind(patterns: dict[str, str], of: Column) -> Column:
         out = F.lit(False)

@@ -59,6 +59,22 @@ def test_adds_secrets_and_redacts(spark):
     assert out[100] == "é and [SECRET] here, [EMAIL]" and out[0] == clean[0][1]
 
 
+def test_secrets_with_blanks_and_quotes(spark):
+    forms = ['token = "{}"', "password: '{}'", '"api_key": "{}"', "secret = {}", "token={}", 'note: token = "{}"', "token\t:\t{}"]
+    value = lambda i: hashlib.sha1(str(i).encode()).hexdigest()
+    rows = [(i, f"é ti of {forms[i % 7].format(value(i))} enon, a{i}@b.com") for i in range(210)]
+    prose = [(1000 + i, "Remember: everything = nothing, note: 'something' and the word: whatever") for i in range(60)]
+    df = spark.createDataFrame(rows + prose, "doc_id long, text string")
+    out = {r.doc_id: r.text for r in redact(df).collect()}
+    for i, text in rows:
+        assert value(i) not in out[i] and out[i].count("[SECRET]") == 1, text
+        assert out[i].startswith("é ti of ") and out[i].endswith(" enon, [EMAIL]")
+    assert all(out[i] == text for i, text in prose)
+    spans = {r.doc_id: r.spans for r in span_digest(df).collect()}
+    start = rows[0][1].index("token")
+    assert f"secret:{start}:{start + len(value(0)) + 10}" in spans[0].split(",") and spans[1000] == ""
+
+
 def test_repeats_and_empty(spark):
     df = spark.createDataFrame([(1, "a@b.cd"), (1, "a@b.cd"), (None, "a@b.cd"), (1, "x")], "doc_id long, text string")
     assert sorted((r.doc_id or 0, r.n_email) for r in span_digest(df).collect()) == [(0, 1), (1, 0), (1, 1), (1, 1)]
