@@ -3,11 +3,12 @@
 Method. Texts are cut into passages of BLOCK words. The TF-IDF matrix of all passages over the
 benchmark's words is reduced by a randomised SVD: one distributed pass counts words and multiplies
 the Gram matrix of the passages by a random matrix, and the driver finishes with a Nystrom step on a
-matrix of features x RANK. A second pass slides windows of each item's length over every document.
-Windows whose share of benchmark words (by IDF) is high enough are projected and compared with
-the items by cosine in the latent space; candidates are checked by the longest common subsequence
-of words, which finds paraphrases with words changed, added or left out, and by the answer check:
-at least half of the item's rarest words must be in the window.
+matrix of features x RANK. A second pass slides windows of each item's length and some slack
+(width_of) over every document, from every word on. The answer check, at least half of the item's
+rarest words in the window, comes first, by the places of those words: it drops no window that it
+would pass later. What is left is projected and compared with the item by cosine in the latent
+space, the best place of a stretch counting; candidates are checked by the longest common
+subsequence of words, which finds paraphrases with words changed, added or left out.
 
 Words are compared with A-Z lower-cased and by 64-bit hashes. What is broadcast is bounded by the
 benchmark (features x RANK numbers; at most max_features words, else an error).
@@ -31,7 +32,9 @@ from pyspark.sql import types as T
 from . import textkit as tk
 
 BLOCK, STEP, RANK, SPARE = 32, 4, 48, 8
-COVER, COSINE = 0.5, 0.5
+COSINE = 0.5
+#: Places of answer words looked at together.
+PLACES = 2_000_000
 #: Share of an item's words in the common subsequence; items of up to SHORT words must be found whole.
 SUBSEQUENCE, SHORT = 0.6, 8
 HITS = "hits"
@@ -88,10 +91,9 @@ class Items:
 
 @dataclass
 class Space:
-    """IDF by feature, IDF of all other words, and the latent basis, IDF included."""
+    """IDF by feature and the latent basis, IDF included."""
 
     idf: np.ndarray
-    other: float
     basis: np.ndarray
 
 
@@ -157,7 +159,7 @@ def fit_space(docs: DataFrame, items: Items, rank: int = RANK, seed: int = 5) ->
     core = (q.T @ z) @ np.linalg.pinv(q.T @ test)
     values, vectors = np.linalg.eigh((core + core.T) / 2)
     basis = q @ vectors[:, np.argsort(-values)[:rank]]
-    return Space(idf, float(np.quantile(idf, 0.9)) if n else 1.0, (idf[:, None] * basis).astype(np.float32))
+    return Space(idf, (idf[:, None] * basis).astype(np.float32))
 
 
 def common_subsequence(a: list[int], b: list[int]) -> int:
@@ -176,6 +178,11 @@ def needed(n: int) -> int:
     return n if n <= SHORT else max(SHORT, int(np.ceil(SUBSEQUENCE * n)))
 
 
+def width_of(n: int) -> int:
+    """Words in a window for an item of n words: its length and slack for words added."""
+    return -(-n // STEP) * STEP + 2 * (STEP + n // 8)
+
+
 def with_hits(docs: DataFrame, benchmark: DataFrame, max_features: int = 2_000_000) -> DataFrame:
     """docs with hits: for each benchmark item found in the text item_id, lcs_words, item_words, answer_hits and answer_words, by item."""
     docs = docs.drop(HITS)
@@ -190,84 +197,82 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, max_features: int = 2_000_0
     def search(batches):
         items, space = held.value
         table = items.table()
-        scales: dict[int, list[int]] = {}
-        for k, f in enumerate(items.words):
-            scales.setdefault(max(STEP, -(-len(f) // STEP) * STEP), []).append(k)
         answers = []
         for f in items.words:
             once = np.unique(f)
             answers.append(set(once[np.argsort(-space.idf[once], kind="stable")][: max(3, len(once) // 3)].tolist()))
-        most = max(map(len, answers))
-        asked = np.array([sorted(x) + [len(space.idf)] * (most - len(x)) for x in answers])
-        asked_by_place, longest = np.ascontiguousarray(asked.T), np.array([len(x) for x in answers])
-        half = np.array([(len(x) + 1) // 2 for x in answers])
+        half, sizes, widths = (np.array([g(k) for k in range(len(answers))]) for g in (lambda k: (len(answers[k]) + 1) // 2, lambda k: len(items.words[k]), lambda k: width_of(len(items.words[k]))))
+        asked = np.array(sorted((x, k) for k, held_words in enumerate(answers) for x in held_words))
         vectors = np.stack([space.basis[f].sum(0) for f in items.words])
         vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
-        weight = np.append(space.idf, space.other)
         basis = np.vstack([space.basis, np.zeros((1, space.basis.shape[1]), np.float32)])  # other words, feature -1, add nothing
 
+        def answered(f, first):
+            """(text, item, low, high): every window that passes the answer check begins in one of these stretches."""
+            own, known = tk.owners(first), np.flatnonzero(f >= 0)
+            times = np.bincount(f[known], minlength=len(space.idf))
+            group = (np.cumsum(np.bincount(asked[:, 1], times[asked[:, 0]], len(answers))) // PLACES).astype(np.int64)
+            for g in np.unique(group).tolist():
+                word, item = asked[group[asked[:, 1]] == g].T
+                turn = np.searchsorted(word, np.arange(len(space.idf) + 1))
+                many = np.diff(turn)[f[known]]
+                place, nth = np.repeat(known, many), np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                item = item[turn[f[place]] + nth]
+                pair = own[place] * len(answers) + item
+                order = np.argsort(pair, kind="stable")
+                place, item, pair = place[order], item[order], pair[order]
+                last = np.arange(len(place)) + half[item] - 1
+                begin = np.flatnonzero(last < len(place))
+                last = last[begin]
+                near = (pair[last] == pair[begin]) & (place[last] - place[begin] < widths[item[begin]])
+                begin, last = begin[near], last[near]
+                k, doc = item[begin], own[place[begin]]
+                low = np.maximum(first[doc], place[last] - widths[k] + 1)
+                high = np.minimum(place[begin], np.maximum(first[doc], first[doc + 1] - widths[k]))
+                # Stretches of a pair that touch are one.
+                fresh = np.flatnonzero((np.diff(pair[begin], prepend=-1) != 0) | (low > np.concatenate(([-1], high[:-1])) + 1))
+                yield from zip(doc[fresh].tolist(), k[fresh].tolist(), low[fresh].tolist(), high[np.append(fresh[1:], len(high)) - 1].tolist() if len(fresh) else [])
+
+        def similar(f, k):
+            """Whether a window of the item's length, or of it with slack, comes near the item in the latent space."""
+            sums = np.concatenate((np.zeros((1, basis.shape[1])), np.cumsum(basis[f], axis=0, dtype=np.float64)))
+            for size in (sizes[k], -(-sizes[k] // STEP) * STEP, widths[k]):
+                size = min(size, len(f))
+                latent = sums[size:] - sums[: len(sums) - size]
+                if ((latent @ vectors[k]) >= COSINE * np.maximum(np.linalg.norm(latent, axis=1), 1e-12)).any():
+                    return True
+            return False
+
+        def best(words, k, starts):
+            """The most words in common subsequence, then answers, among windows from the first starts places of words on; None if none passes."""
+            item, width, out = items.words[k].tolist(), int(widths[k]), None
+            block = max(1, width // 2)
+            for a in range(0, starts, block):
+                # The windows of a block hold no more than what they span together.
+                if common_subsequence(item, words[a : a + block - 1 + width]) < needed(len(item)):
+                    continue
+                for s in range(a, min(a + block, starts)):
+                    window = words[s : s + width]
+                    n_held = len(answers[k].intersection(window))
+                    if n_held < half[k]:
+                        continue
+                    n = common_subsequence(item, window)
+                    if n >= needed(len(item)) and (out is None or (n, n_held) > out):
+                        out = n, n_held
+                        if out == (len(item), len(answers[k])):
+                            return out
+            return out
+
         def found(f, first):
             """Hits by text: {(text, item): row}."""
             out: dict = {}
-            # A window's share of benchmark words is COVER or more where this sum does not fall over it.
-            gain = weight[f] * np.where(f >= 0, 1 - COVER, -COVER)
-            gain = np.concatenate(([0.0], np.cumsum(gain)))
-            own = tk.owners(first)
-            at = np.arange(len(f))
-            at = at[(at - first[own]) % STEP == 0]
-            last, before = first[own[at] + 1], gain[at]
-            chosen, used = [], np.zeros(len(at) + 1, np.int32)
-            for size, members in scales.items():
-                rows = np.flatnonzero(gain[np.minimum(at + size, last)] >= before)
-                begin, final = at[rows], last[rows]
-                # A window cut short by the text's end is the last that reaches it.
-                whole = (begin + size <= final) | (begin == first[own[begin]]) | (begin + size - final < STEP)
-                rows, begin, final = rows[whole], begin[whole], final[whole]
-                stop = np.minimum(begin + size, final)
-                after = rows + (stop - begin + STEP - 1) // STEP
-                np.add.at(used, rows, 1)
-                np.add.at(used, after, -1)
-                chosen.append((size, members, begin, stop, final, rows, after))
-            # Running sums of latent vectors, by steps, over the steps of chosen windows alone.
-            used = np.cumsum(used)[:-1] > 0
-            place = np.concatenate(([0], np.cumsum(used)))
-            steps, sums = np.zeros((place[-1], basis.shape[1]), np.float32), np.zeros((place[-1] + 1, basis.shape[1]))
-            for c in range(STEP):
-                word = at[used] + c
-                steps += basis[np.where(word < last[used], f[np.minimum(word, len(f) - 1)], -1)]
-            np.cumsum(steps, axis=0, out=sums[1:])
-            for size, members, begins, stops, finals, rows, after in chosen:
-                margin = STEP + size // 8
-                for a in range(0, len(begins), 2048):
-                    begin, stop, final = begins[a : a + 2048], stops[a : a + 2048], finals[a : a + 2048]
-                    latent = sums[place[after[a : a + 2048]]] - sums[place[rows[a : a + 2048]]]
-                    latent = (latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)).astype(np.float32)
-                    row, member = np.nonzero(latent @ vectors[members].T >= COSINE)
-                    # The answer check on a window that holds each item's own, all pairs at once.
-                    wide = np.clip(begin[:, None] + np.arange(-margin, size + margin), first[own[begin]][:, None], final[:, None] - 1)
-                    across = len(space.idf) + 1
-                    said = np.zeros(len(begin) * across, np.uint8)
-                    line = np.arange(len(begin)) * across
-                    said[(line[:, None] + np.where(f[wide] < 0, across - 1, f[wide])).ravel()] = 1
-                    said[line + across - 1] = 0
-                    item_of, at_line = np.array(members)[member], line[row]
-                    answered = np.zeros(len(row), np.uint8 if most < 256 else np.int32)
-                    for c in range(int(longest[members].max())):
-                        answered += said.take(asked_by_place[c].take(item_of) + at_line)
-                    good = answered >= half[item_of]
-                    for r, k in zip(row[good].tolist(), item_of[good].tolist()):
-                        doc = int(own[begin[r]])
-                        if (doc, k) in out:
-                            continue
-                        item = items.words[k]
-                        pad = STEP + len(item) // 8
-                        window = f[max(first[doc], begin[r] - pad) : min(first[doc + 1], stop[r] + pad)].tolist()
-                        held_words = answers[k].intersection(window)
-                        if 2 * len(held_words) < len(answers[k]):
-                            continue
-                        n = common_subsequence(item.tolist(), window)
-                        if n >= needed(len(item)):
-                            out[doc, k] = (items.ids[k], n, len(item), len(held_words), len(answers[k]))
+            for doc, k, low, high in answered(f, first):
+                if (doc, k) in out:
+                    continue
+                stretch = f[low : min(first[doc + 1], high + widths[k])]
+                top = best(stretch.tolist(), k, high - low + 1) if similar(stretch, k) else None
+                if top:
+                    out[doc, k] = (items.ids[k], top[0], len(items.words[k]), top[1], len(answers[k]))
             return out
 
         for batch in batches:

@@ -73,3 +73,38 @@ def test_leaks(spark):
     assert {(r.doc_id, r.item_id) for r in got} == want and len(got) == len(want) + 1
     assert dc.decontaminate(df.drop("hits"), bench).count() == len(docs) - len({d for d, _ in want}) - 1
     assert dc.contaminated(df, bench.filter("false")).count() == 0 and dc.contaminated(df.filter("false"), bench).count() == 0
+
+
+def test_leaks_against_all_windows(spark):
+    """Every hit of the common subsequence and the answer check over all windows, for paraphrases among foreign words and short items at any place."""
+    r = random.Random(5)
+    rare = [f"w{i}" for i in range(1200)]
+    items = [(i, " ".join(r.choice(rare) for _ in range(n))) for i, n in enumerate([*range(1, 13), *(r.randint(12, 60) for _ in range(30))])]
+    foreign = lambda n: [f"f{r.randrange(10**6)}" for _ in range(n)]
+    docs = []
+    for d in range(1000):
+        words = items[d % len(items)][1].split()
+        if len(words) > 8:
+            rate = r.choice([0.2, 0.3, 0.35])
+            words = [w if r.random() > rate else foreign(1)[0] for w in words]
+        elif d % 3 == 0:  # words added to a short item
+            words = [x for w in words for x in (w, *foreign(r.randint(0, 1)))]
+        docs.append((d, " ".join(foreign(r.randint(0, 40)) + words + foreign(r.randint(0, 40)))))
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")
+    known = dc.Items.of(items, 10**6)
+    idf, table = dc.fit_space(df, known).idf, known.table()
+    want = {}
+    for d, text in docs:
+        raw = np.frombuffer(text.encode(), np.uint8)
+        f = known.features(dc._slice_words(raw, np.array([0, len(raw)]))[0], table).tolist()
+        for i, item in zip(known.ids, known.words):
+            once = np.unique(item)
+            asked = set(once[np.argsort(-idf[once], kind="stable")][: max(3, len(once) // 3)].tolist())
+            width = -(-len(item) // 4) * 4 + 2 * (4 + len(item) // 8)
+            for at in range(max(1, len(f) - width + 1)):
+                window = f[at : at + width]
+                held = len(asked.intersection(window))
+                if 2 * held >= len(asked) and (n := dc.common_subsequence(item.tolist(), window)) >= dc.needed(len(item)):
+                    want[d, i] = max(want.get((d, i), (0, 0)), (n, held))
+    got = {(x.doc_id, x.item_id): (x.lcs_words, x.answer_hits) for x in dc.contaminated(df, bench).collect()}
+    assert len(want) > 800 and got == want
