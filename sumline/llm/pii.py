@@ -35,7 +35,7 @@ THRESHOLD = 0.9
 BASE = ["email", "ip", "card", "phone"]
 KINDS = [*BASE, "local_phone", "secret"]
 _KEY = r"(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)"
-_NAME, _VALUE = r"[A-Za-z][A-Za-z0-9_-]{0,30}+", r"[A-Za-z0-9+/_-]{8,200}+"
+_NAME, _VALUE = r"[A-Za-z][A-Za-z0-9_-]{0,30}+", r"[A-Za-z0-9+/_-]{8,}+"
 #: Between a secret's name and its value: = or :, with blanks around it and the name's closing quote.
 _SIGN = r"[\"']?[ \t]*+[=:][ \t]*+"
 #: name=value; else with blanks or quotes, where a known name's value is taken as it stands, and any other name's only if it isn't itself

@@ -75,6 +75,13 @@ def test_secrets_with_blanks_and_quotes(spark):
     assert f"secret:{start}:{start + len(value(0)) + 10}" in spans[0].split(",") and spans[1000] == ""
 
 
+def test_long_secrets_are_redacted_whole(spark):
+    value = lambda i, n: (hashlib.sha256(str(i).encode()).hexdigest() * (n // 64 + 1))[:n]
+    rows = [(i, f'so token{"=" if i % 2 else " = "}{value(i, n)} ends') for i, n in enumerate([40, 199, 200, 201, 500, 1000] * 8)]
+    out = {r.doc_id: r.text for r in redact(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(out.values()) == {"so [SECRET] ends"}
+
+
 def test_repeats_and_empty(spark):
     df = spark.createDataFrame([(1, "a@b.cd"), (1, "a@b.cd"), (None, "a@b.cd"), (1, "x")], "doc_id long, text string")
     assert sorted((r.doc_id or 0, r.n_email) for r in span_digest(df).collect()) == [(0, 1), (1, 0), (1, 1), (1, 1)]
