@@ -15,6 +15,8 @@ hash as such. An empty table gives an empty result. Columns named like the opera
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,6 +28,23 @@ def shard_sizes(total: int, n_shards: int) -> np.ndarray:
     return np.full(n_shards, total // n_shards, np.int64) + (np.arange(n_shards) < total % n_shards)
 
 
+def large_hypergeometric(draw: np.random.Generator, good: int, bad: int, wanted: int) -> int:
+    """A draw from the hypergeometric law for any counts, by inversion of its probabilities.
+
+    They come from the ratios of neighbours, outwards from the mode, as far as 12 standard deviations and 40 rows, beyond which less
+    of the law lies than a double can tell from nothing."""
+    low, high = max(0, wanted - bad), min(good, wanted)
+    mode = min(max((good + 1) * (wanted + 1) // (good + bad + 2), low), high)
+    share = good / max(1, good + bad)
+    reach = 40 + int(12 * (wanted * share * (1 - share) * (good + bad - wanted) / max(1, good + bad - 1)) ** 0.5)
+    low, high = max(low, mode - reach), min(high, mode + reach)
+    at = np.arange(low, high, dtype=np.float64)  # from x to x + 1
+    steps = np.log(good - at) + np.log(wanted - at) - np.log(at + 1) - np.log(bad - wanted + at + 1)
+    logs = np.concatenate(([0.0], np.cumsum(steps)))
+    sums = np.cumsum(np.exp(logs - logs[mode - low]))
+    return low + min(int(np.searchsorted(sums, draw.random() * sums[-1], "right")), high - low)
+
+
 def communication_matrix(rows_of: list[int], sizes: np.ndarray, seed: int) -> np.ndarray:
     """Counts by partition and shard with both margins exact, drawn uniformly over all shuffles."""
     draw = np.random.Generator(np.random.PCG64(seed))
@@ -34,13 +53,9 @@ def communication_matrix(rows_of: list[int], sizes: np.ndarray, seed: int) -> np
         rest, wanted = int(left.sum()), int(n)
         for j in range(len(sizes)):  # the multivariate law as a chain of hypergeometric ones
             rest -= int(left[j])
-            # numpy's law takes up to a billion rows of each kind; beyond, its normal limit within the exact bounds
-            if left[j] + rest < 1_000_000_000:
-                x = int(draw.hypergeometric(int(left[j]), rest, wanted)) if wanted else 0
-            else:
-                n_all, share = int(left[j]) + rest, int(left[j]) / (int(left[j]) + rest)
-                spread = (wanted * share * (1 - share) * max(0.0, (n_all - wanted) / max(1, n_all - 1))) ** 0.5
-                x = int(min(max(round(draw.normal(wanted * share, spread)), wanted - rest, 0), int(left[j]), wanted))
+            # numpy's sampler takes up to a billion rows of each kind
+            sample = draw.hypergeometric if left[j] + rest < 1_000_000_000 else functools.partial(large_hypergeometric, draw)
+            x = int(sample(int(left[j]), rest, wanted)) if wanted else 0
             out[i, j], wanted = x, wanted - x
         left -= out[i]
     return out

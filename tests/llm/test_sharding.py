@@ -1,10 +1,11 @@
+import math
 import zlib
 from collections import defaultdict
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from sumline.llm.sharding import communication_matrix, hypergeometric_shuffle, shard_sizes, sharded_digest
+from sumline.llm.sharding import communication_matrix, hypergeometric_shuffle, large_hypergeometric, shard_sizes, sharded_digest
 
 
 def test_matrix_margins_and_law():
@@ -39,3 +40,16 @@ def test_passes_columns_and_empty(spark):
     out = hypergeometric_shuffle(df, [F.col("doc_id")], 3)
     assert out.columns == ["doc_id", "text", "a.b", "shard", "slot"] and out.count() == 10
     assert sharded_digest(df.filter("false")).count() == 0
+
+
+def test_large_draws_keep_the_law():
+    # Parts of one row among 2e9: each shard gets a fortieth of them.
+    m = communication_matrix([1] * 2000 + [2 * 10**9 - 2000], shard_sizes(2 * 10**9, 40), 3)
+    assert (m.sum(0) == 5 * 10**7).all() and (m[:-1].sum(1) == 1).all()
+    assert (abs(m[:-1].sum(0) - 50) < 35).all()
+    # The sampler against the law itself, where that can be counted out.
+    draw = np.random.Generator(np.random.PCG64(1))
+    for good, bad, wanted in [(7, 5, 6), (3, 40, 9), (30, 2, 31), (5, 0, 3), (0, 4, 2), (6, 6, 12), (50, 60, 40)]:
+        got = np.bincount([large_hypergeometric(draw, good, bad, wanted) for _ in range(20000)], minlength=wanted + 1) / 20000
+        law = [math.comb(good, x) * math.comb(bad, wanted - x) / math.comb(good + bad, wanted) for x in range(wanted + 1)]
+        assert np.abs(got - law).max() < 0.02 and not got[np.array(law) == 0].any()
