@@ -243,6 +243,16 @@ def line_series(spark, sf_dir):
     return items.groupBy("table_id").agg(F.count_distinct("key").alias("keys"), newest["value"].cast("long").alias("revenue"))
 
 
+def _diff_of_years(spark, sf_dir):
+    items = link.series(keep(foot(_read(spark, sf_dir, "income", restate=True))))
+    split = F.split("table_id", "-")
+    items = items.withColumn("nation", split[0].cast("int")).withColumn("report", split[1].cast("int"))
+    a = items.withColumn("key", F.when(F.col("key") == "gross profit", "other income").otherwise(F.col("key"))).withColumn("year_of", F.col("report"))
+    b = items.withColumn("year_of", F.col("report") + 1)
+    common = a.select("nation", "year_of").distinct().intersect(b.select("nation", "year_of").distinct())
+    return link.diff_tables(a.join(common, ["nation", "year_of"]), b.join(common, ["nation", "year_of"]), ["nation", "year_of"])
+
+
 @query(_BASE + """
 , x as (select a.nation, a.year, a.revenue as ra, a.before as pa, b.revenue as rb from rep a join rep b on a.nation = b.nation and b.year = a.year - 1),
 k as (select unnest(['revenue', 'gross profit', 'other income', 'profit before tax']) as key)
@@ -251,16 +261,20 @@ where key in ('revenue', 'gross profit', 'other income')
 """)
 def report_diff(spark, sf_dir):
     """A report against the one of the year before; one line has another name in it."""
-    items = link.series(keep(foot(_read(spark, sf_dir, "income", restate=True))))
-    split = F.split("table_id", "-")
-    items = items.withColumn("nation", split[0].cast("int")).withColumn("report", split[1].cast("int"))
-    a = items.withColumn("key", F.when(F.col("key") == "gross profit", "other income").otherwise(F.col("key"))).withColumn("year_of", F.col("report"))
-    b = items.withColumn("year_of", F.col("report") + 1)
-    common = a.select("nation", "year_of").distinct().intersect(b.select("nation", "year_of").distinct())
-    out = link.diff_tables(a.join(common, ["nation", "year_of"]), b.join(common, ["nation", "year_of"]), ["nation", "year_of"])
+    out = _diff_of_years(spark, sf_dir)
     return out.filter(F.col("key").isin("revenue", "gross profit", "other income")).select("nation", F.col("year_of").cast("long").alias("year"), "key", "status")
 
 
+@query(_BASE + """
+, x as (select a.nation, a.year, a.revenue as ra, a.before as pa from rep a join rep b on a.nation = b.nation and b.year = a.year - 1),
+k as (select unnest(['revenue', 'cost of sales', 'gross profit', 'other income', 'general and administrative costs', 'finance costs', 'profit before tax', 'income tax', 'profit for the year']) as key)
+select nation, year, key, case when key = 'other income' then 'NEW in A' when key = 'gross profit' then 'removed (only in B)' when key = 'revenue' and ra = pa then '' else 'changed' end as status from x, k
+""")
+def report_diff_lines(spark, sf_dir):
+    """Every line of the diff that report_diff shows three keys of."""
+    return _diff_of_years(spark, sf_dir).select("nation", F.col("year_of").cast("long").alias("year"), "key", "status")
+
+
 @query()
 def matched_tables(spark, sf_dir):
     """Statements of neighbouring years paired by kind and title; greedy, so tested by hand-made cases."""

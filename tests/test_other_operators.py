@@ -77,3 +77,16 @@ def test_sources(spark, tmp_path):
 def test_works_without_corpus_operators():
     code = "import sys; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; q = e.queries(); assert q and not any(k.startswith('op') or k == 'pipeline' for k in q); assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True, timeout=120)
+
+
+def test_report_diff_states_every_line(spark):
+    import duckdb
+
+    from sumline import registry
+
+    sf_dir = "/root/testdata/sf0.001"
+    tables = duckdb.connect()
+    for t in ("orders", "customer"):
+        tables.execute(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
+    got = sorted(tuple(r) for r in registry.QUERIES["report_diff_lines"](spark, sf_dir).collect())
+    assert len({key for _, _, key, _ in got}) == 9 and got == sorted(tables.execute(registry.ORACLES["report_diff_lines"]).fetchall())
