@@ -3,28 +3,32 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Lists that record the folders made while they are here; see recorded().
+_recorders: list[list[str]] = []
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where it is unset (tests), a temporary one is set."""
+    """The folder named by spark.checkpoint.dir. Where it is unset a session of one machine gets a temporary one; on a cluster that is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             return held.get()
+        if not (spark.sparkContext.master or "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = f"file://{tempfile.mkdtemp(prefix='sumline-')}"
         spark.sparkContext.setCheckpointDir(named)
-        return named
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(named)
     return named
 
 
@@ -35,8 +39,10 @@ def remove_path(spark: SparkSession, path: str) -> None:
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
-    """A fresh folder name in the shared folder, removed when the driver's Python ends."""
+    """A fresh folder name in the shared folder, removed when the driver's Python ends, if not before."""
     path = f"{shared_dir(spark)}/sumline-{tag}-{uuid.uuid4().hex}"
+    for made in _recorders:
+        made.append(path)
 
     def clean() -> None:
         try:
@@ -48,14 +54,25 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return path
 
 
+@contextlib.contextmanager
+def recorded(made: list[str]) -> Iterator[None]:
+    """Adds to made the folders that are made inside, so that they can be removed once what they feed is written."""
+    _recorders.append(made)
+    try:
+        yield
+    finally:
+        _recorders.remove(made)
+
+
 def stash(df: DataFrame, tag: str) -> DataFrame:
     """Cut the lineage: write df as a table in the shared folder and read it back."""
     path = new_path(df.sparkSession, tag)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stashed_at = path
+    return out
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage of a small table by a reliable checkpoint."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+def discard(df: DataFrame) -> None:
+    """Remove a table made by stash() that nothing reads any more."""
+    remove_path(df.sparkSession, df._stashed_at)

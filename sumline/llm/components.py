@@ -1,14 +1,17 @@
 """Connected components by alternating large and small stars, on DataFrames.
 
 Edges are rows; every step is a grouped minimum (pre-aggregated before its shuffle) and an
-equi-join whose skewed side Spark can split. Nothing is collected but a count and a checksum."""
+equi-join whose skewed side Spark can split. Nothing is collected but a count and a checksum.
+
+Defined cases. Without links the result is empty. Links from a node to itself and repeated links
+change nothing; links with a null end are left out. Other columns are ignored."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import discard, stash
 
 
 def _checksum(edges: DataFrame) -> tuple:
@@ -27,12 +30,13 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """links (a, b): long ids. (node, root) for every node that has a link; root is the least id reachable."""
-    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
-    edges = cut(edges)
+    """links (a, b): long ids. (node, root) for every node that has a link to another; root is the least id reachable."""
+    links = links.filter("a is not null and b is not null")
+    edges = stash(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
     before = _checksum(edges)
     while True:
-        edges = cut(_star(_star(edges, True), False))
+        last, edges = edges, stash(_star(_star(edges, True), False), "edges")
+        discard(last)
         now = _checksum(edges)
         if now == before:
             break

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from . import textkit as tk
 
 SEGMENT = 16  # log2 of cells in a segment of the sketch
+DENSE = 24
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 NO_ID = -(1 << 63)  # stands for a null id inside the passes
 
@@ -57,33 +58,55 @@ def _cells(g: np.ndarray, log2_width: int) -> list[np.ndarray]:
     return [(g * np.uint64(odd)) >> shift for odd in _ODD]
 
 
-def _sketch_rows(counts: list[np.ndarray], log2_width: int) -> Iterator[pa.RecordBatch]:
-    size, seg, once, more = 1 << SEGMENT, [], [], []
+def _dense_rows(counts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """What is counted in whole rows of cells, by segment."""
+    found = []
     for row, cells in enumerate(counts):
-        per = len(cells) >> SEGMENT
-        for s in range(per):
-            part = cells[s * size : (s + 1) * size]
-            if part.any():
-                seg.append(row * per + s)
-                once.append(np.flatnonzero(part == 1).astype(np.uint16).tobytes())
-                more.append(np.flatnonzero(part > 1).astype(np.uint16).tobytes())
+        at = np.flatnonzero(cells)
+        found.append((row, at, cells[at] > 1))
+    yield from _sparse_rows(found, [len(c) for c in counts])
+
+
+def _sparse_rows(found: list[tuple[int, np.ndarray, np.ndarray]], widths: list[int]) -> Iterator[pa.RecordBatch]:
+    """found: row, cells ascending, and whether each was counted more than once."""
+    seg, once, more = [], [], []
+    for (row, at, many), width in zip(found, widths):
+        of = at >> SEGMENT
+        low = (at & ((1 << SEGMENT) - 1)).astype(np.uint16)
+        edge = np.flatnonzero(np.diff(of, prepend=-1))
+        for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(at)]):
+            seg.append(row * (width >> SEGMENT) + int(of[a]))
+            once.append(low[a:b][~many[a:b]].tobytes())
+            more.append(low[a:b][many[a:b]].tobytes())
     yield pa.record_batch([pa.array(seg, pa.int32()), pa.array(once, pa.binary()), pa.array(more, pa.binary())], names=["seg", "once", "more"])
 
 
 def merged_sketch(hashes: DataFrame, fill, log2_width: int) -> np.ndarray:
-    """Bits of the cells that were counted twice or more. fill(batch) gives arrays of hashes to count."""
+    """Bits of the cells that were counted twice or more. fill(batch) gives arrays of hashes to count.
+
+    Up to 2**DENSE cells a task counts in whole rows of cells; beyond, it sends on what each array hits, so that its memory stays the array's."""
+
+    def counted(g):
+        out = []
+        for row, idx in enumerate(_cells(g, log2_width)):
+            idx.sort()
+            edge = np.flatnonzero(np.diff(idx, prepend=np.uint64(1 << 63)))
+            out.append((row, idx[edge].astype(np.int64), np.diff(np.append(edge, len(idx))) > 1))
+        return out
 
     def build(batches):
-        counts = [np.zeros(1 << log2_width, np.uint8) for _ in _ODD]
+        widths = [1 << log2_width for _ in _ODD]
+        if log2_width > DENSE:
+            for batch in batches:
+                for g in fill(batch):
+                    yield from _sparse_rows(counted(g), widths)
+            return
+        counts = [np.zeros(n, np.uint8) for n in widths]
         for batch in batches:
             for g in fill(batch):
-                for cells, idx in zip(counts, _cells(g, log2_width)):
-                    idx.sort()
-                    edge = np.flatnonzero(np.diff(idx, prepend=np.uint64(1 << 63)))
-                    u = idx[edge].astype(np.int64)
-                    many = np.diff(np.append(edge, len(idx)))
-                    cells[u] = np.minimum(cells[u] + np.minimum(many, 2).astype(np.uint8), 2)
-        yield from _sketch_rows(counts, log2_width)
+                for row, at, many in counted(g):
+                    counts[row][at] = np.minimum(counts[row][at] + np.where(many, 2, 1).astype(np.uint8), 2)
+        yield from _dense_rows(counts)
 
     def merge(batches):
         held: dict[int, np.ndarray] = {}
@@ -100,7 +123,7 @@ def merged_sketch(hashes: DataFrame, fill, log2_width: int) -> np.ndarray:
     merged = parts.repartition(64, "seg").mapInArrow(merge, "seg int, bits binary")
     out = np.zeros((len(_ODD) << log2_width) >> 3, np.uint8)
     size = (1 << SEGMENT) >> 3
-    for seg, bits in merged.collect():  # a fixed number of segments, whatever the input
+    for seg, bits in merged.toLocalIterator():  # a number of segments fixed by the width, a partition at a time
         out[seg * size : (seg + 1) * size] = np.frombuffer(bits, np.uint8)
     return out
 
@@ -134,7 +157,7 @@ def repeated_starts(docs: DataFrame, k: int = 20, log2_width: int = 26) -> DataF
         for batch in batches:
             for piece, raw, offs in tk.slices(batch, "text"):
                 starts, ends, first = tk.words(raw, offs)
-                w = tk.word_hashes(raw, starts, ends)
+                w, other = tk.word_hash_pair(raw, starts, ends)
                 g, at, ok = _anchors(w, first, k)
                 if not len(ok):
                     continue
@@ -145,7 +168,7 @@ def repeated_starts(docs: DataFrame, k: int = 20, log2_width: int = 26) -> DataF
                 if not len(ok):
                     continue
                 h1 = tk.run_hashes(w, k, 1)[ok].view(np.int64)
-                h2 = (tk.run_hashes(w, k, 2)[ok] >> np.uint64(32)).astype(np.int64)
+                h2 = (tk.run_hashes(other, k, 2)[ok] >> np.uint64(32)).astype(np.int64)
                 own = tk.owners(first)[ok]
                 doc, pos = _ids(piece)[own], ok - first[own]
                 order = np.lexsort((pos, doc, h2, h1))

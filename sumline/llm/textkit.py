@@ -1,12 +1,13 @@
 """Word splitting and rolling hashes over whole Arrow batches of texts, in numpy.
 
 Words are maximal runs of bytes other than space and \\x09-\\x0D, which on UTF-8 is the same as
-on code points. A word's 64-bit hash is a polynomial over a fixed random value per byte, mixed
-with a finaliser; a run of k words is hashed as a polynomial over word hashes.
+on code points. A word has two 64-bit hashes under independent keys, mixed after every eight bytes,
+so that no algebra of the bytes makes words collide; a run of k words is hashed as a polynomial over them.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,12 +16,11 @@ import pyarrow.compute as pc
 
 SOLID = np.ones(256, bool)
 SOLID[[9, 10, 11, 12, 13, 32]] = False
-_rng = np.random.Generator(np.random.PCG64(20240229))
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_KEYS = tuple(np.random.Generator(np.random.PCG64(20240229)).integers(1, 2**63, 2, dtype=np.uint64))
+LONG_WORD = 512
 _MASK = (1 << 64) - 1
 BASES = (0x9E3779B97F4A7C15 | 5, 0xD1B54A32D192ED03 | 5, 0x8CB92BA72F3D8DD7 | 5)
 SLICE_BYTES = 4 << 20
-_HASH_BYTES = 1 << 20
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -90,30 +90,46 @@ def words(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return starts, ends, np.searchsorted(starts, offs)
 
 
+def word_hash_pair(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lanes: int = 2) -> tuple[np.ndarray, ...]:
+    """Two hashes of each word (or one, for one lane) under independent keys: eight bytes at a time, each put through the finaliser.
+
+    Words of more than LONG_WORD bytes, of which there are few, take the halves of a keyed BLAKE2b digest."""
+    padded = np.concatenate((raw, np.zeros(8, np.uint8)))
+    eight = np.ndarray((len(raw) + 1,), "<u8", padded, strides=(1,))
+    length = (ends - starts).astype(np.uint64)
+    out = tuple(mix(length ^ key) for key in _KEYS[:lanes])
+    rows = np.flatnonzero(length <= LONG_WORD)
+    done = 0
+    while len(rows):
+        at = starts[rows] + done
+        chunk = eight[at]
+        left = ends[rows] - at
+        last = left < 8
+        chunk[last] &= (np.uint64(1) << (left[last] * 8).astype(np.uint64)) - np.uint64(1)
+        for h, key in zip(out, _KEYS):
+            h[rows] = mix((h[rows] ^ chunk) + key)
+        rows, done = rows[left > 8], done + 8
+    for i in np.flatnonzero(length > LONG_WORD).tolist():
+        digest = hashlib.blake2b(raw[starts[i] : ends[i]].tobytes(), digest_size=16, key=b"sumline words").digest()
+        for h, half in zip(out, np.frombuffer(digest, np.uint64)):
+            h[i] = half
+    return out
+
+
 def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    out = np.empty(len(starts), np.uint64)
-    i, n, base = 0, len(starts), BASES[0]
-    while i < n:
-        at = int(starts[i])
-        j = max(i + 1, int(np.searchsorted(ends, at + _HASH_BYTES, "right")))
-        part = raw[at : int(ends[j - 1])]
-        up, down = powers(base, len(part) + 1)
-        sums = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(_BYTE[part] * up[: len(part)], out=sums[1:])
-        s, e = starts[i:j] - at, ends[i:j] - at
-        out[i:j] = (sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64)
-        i = j
-    return mix(out)
+    return word_hash_pair(raw, starts, ends, 1)[0]
 
 
 def run_hashes(w: np.ndarray, k: int, which: int = 1) -> np.ndarray:
-    """Hash of the k words from each position on; positions run over all words, whatever text they are in."""
+    """Hash of the k words from each position on; positions run over all words, whatever text they are in.
+
+    which: the base; hashes of one w under different bases aren't independent, those of a pair's two halves are."""
     n = len(w) - k + 1
     if n <= 0:
         return np.empty(0, np.uint64)
     up, down = powers(BASES[which], len(w) + 1)
     sums = np.zeros(len(w) + 1, np.uint64)
-    np.cumsum((w if which == 1 else mix(w + np.uint64(which))) * up[: len(w)], out=sums[1:])
+    np.cumsum(w * up[: len(w)], out=sums[1:])
     return mix((sums[k:] - sums[:-k]) * down[:n] + np.uint64(k))
 
 
