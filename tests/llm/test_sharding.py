@@ -53,3 +53,32 @@ def test_large_draws_keep_the_law():
         got = np.bincount([large_hypergeometric(draw, good, bad, wanted) for _ in range(20000)], minlength=wanted + 1) / 20000
         law = [math.comb(good, x) * math.comb(bad, wanted - x) / math.comb(good + bad, wanted) for x in range(wanted + 1)]
         assert np.abs(got - law).max() < 0.02 and not got[np.array(law) == 0].any()
+
+
+def test_law_of_places(spark):
+    """Counts of a row group by shard have the hypergeometric variance, slots are uniform, and rows next to each other part."""
+    n, n_shards, group = 4000, 8, 400
+    df = spark.range(n).withColumnRenamed("id", "doc_id")
+    held, slots, near = [], [], []
+    for seed in range(12):
+        rows = sorted((r.doc_id, r.shard, r.slot) for r in hypergeometric_shuffle(df, [F.col("doc_id")], n_shards, seed, n_parts=16, n_blocks=4).collect())
+        held.append(np.bincount([s for i, s, _ in rows if i < group], minlength=n_shards))
+        slots += [t / (n / n_shards) for i, _, t in rows if i < group]
+        near.append(np.mean([a[1] == b[1] for a, b in zip(rows, rows[1:])]))
+    held = np.array(held)
+    share = 1 / n_shards
+    variance = group * share * (1 - share) * (n - group) / (n - 1)
+    assert 0.6 < held.var() / variance < 1.5 and abs(held.mean() - group * share) < 1e-9
+    assert np.abs(np.histogram(slots, 10, (0, 1))[0] / len(slots) - 0.1).max() < 0.02
+    assert abs(np.mean(near) - share) < 0.01
+
+
+def test_rows_equal_at_cuts(spark):
+    """A group of equal rows that spans many shards is counted out exactly."""
+    df = spark.createDataFrame([(7, "t")] * 700 + [(i, "t") for i in range(100, 400)], "doc_id long, text string").repartition(6)
+    got = hypergeometric_shuffle(df, [F.col("doc_id"), F.col("text")], 7, n_parts=3, n_blocks=2).collect()
+    slots = defaultdict(list)
+    for r in got:
+        slots[r.shard].append(r.slot)
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values()) and sorted(map(len, slots.values())) == [142] + [143] * 6
+    assert len({r.shard for r in got if r.doc_id == 7}) == 7
