@@ -1,25 +1,32 @@
 """Exact n-gram Jaccard join in the Jaccard metric space, by pivots, windows and recursion.
 
-The Jaccard distance is a metric, but whole documents are poor pivots: unrelated texts are all at a distance
-near 1 from one another, so a window of twice the radius around any such pivot holds everything.
-The pivots here are sets of one shingle. Distance to {s} is below 1 only for sets that hold s, and
-ties between pivots go by one global order of shingles, rare ones first (by a count-min sketch of
-the corpus) and then by hash, so that common passages never head a set.
-
-Method. (1) Texts with equal shingle sets become one class. (2) A set's Voronoi region is that of
-its first shingle. Whatever lies within the radius r shares all but a fraction r of its shingles,
-so its region is among the first n - ceil((1 - r) n) + 1 of a set of n: the set is replicated to
-those regions and no others. (3) In a region, |d(x, 0) - d(y, 0)| for the empty set gives a window
-on sizes, and histograms of shingles over BINS bins, which differ by no more than the sets do, a
-second lower bound on the distance. (4) Inside a region the rest recurse on document pivots: the
-set nearest to the mean of a cell is compared exactly with the cell's members (round 1), sets not
-yet connected with their nearest neighbours by the bound (round 2), and then every remaining
-pair of different components that the bounds leave (round 3), so that no link between
-components is lost. Pairs inside a component can't change the result and are not compared.
+The Jaccard distance d is a metric on finite sets, and so is its multiset form on histograms of shingles
+over BINS bins, which never exceeds d. With radius r, sets link at d <= r.
+
+Method. (1) Texts with equal shingle sets become one class. (2) Voronoi regions of the first level
+have one-shingle sets as pivots: d(x, {s}) < 1 only where s is in x, and ties go by one global
+order of shingles, rare ones first (by a count sketch of the corpus) and then by hash. Whole documents
+don't work as pivots of this level: unrelated texts are all at a distance near 1 from one another, so a window
+of 2 r around any of them holds everything. What lies within r of a set of n shares all but a fraction of its
+shingles, so its region is among the first n - ceil((1 - r) n) + 1: the set is replicated to those and
+no others, and two sets need comparing only in the region of their first common shingle, where their
+places in their own orders bound what they can share. (3) Inside a region pivots are documents.
+First round: cells around document pivots within reach; members are compared exactly with the cell's
+centre, and links make components. Later rounds, for sets of different components only: the region is split
+by its document pivots (farthest first) into Voronoi cells by the histogram metric; a set is
+replicated to every cell whose pivot is at most 2 r farther than its own (triangle
+inequality), and cells are split again until they have at most CELL sets or splitting no longer helps;
+then blocks of pairs are held against the bounds. The second round compares each set with its
+nearest ones, the third every pair that is left, so that no link between components is lost. Pairs inside a
+component can't change the result and are not compared.
+
+Regions of a shingle that the sketch holds for common are cut into blocks of some HOT sets, and every pair of
+blocks is a task's work of its own. Sketches are sized by the words counted in the input, up to MAX_CELLS
+and MAX_WIDTH; beyond, they only send more sets to the shuffle by regions, which drops those that are alone.
 
 Defined cases. Texts without words, null texts and null ids have no links; a null id's component
 is null. Rows that share an id are one document that has the links of all of them. An empty table
-gives an empty result. Other columns of the input are ignored.
+gives an empty result. Texts may be of any length. Other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -28,18 +35,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .common import cut, stash
+from .common import discard, stash
 from .components import components
 from .substring_dedup import estimated_twice, merged_sketch
 
 #: Bins of the coarse histogram, which travels with each replica, and of the fine one, which is fetched for pairs.
 BINS, FINE = 32, 256
-#: In regions of up to FEW sets all pairs are bounded at once.
-FEW = 12
+#: Small regions' pairs are all bounded at once; cells of up to CELL sets are not split; PIVOTS documents split a larger one.
+FEW, CELL, PIVOTS = 12, 256, 8
+#: Sets that one block of a common shingle's region holds, about.
+HOT = 4096
+MIN_CELLS, MAX_CELLS, MAX_WIDTH = 20, 24, 28
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 NEAREST = 4
@@ -50,36 +60,47 @@ def _shingle_lists(raw: np.ndarray, offs: np.ndarray, k: int) -> Iterator[np.nda
     raw = _LOWER[raw]
     starts, ends, first = tk.words(raw, offs)
     w = tk.word_hashes(raw, starts, ends)
-    runs = {n: tk.run_hashes(w, n, 2) for n in range(1, k + 1)}
+    runs: dict[int, np.ndarray] = {}
     for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
         n = min(k, b - a)
+        if n and n not in runs:
+            runs[n] = tk.run_hashes(w, n, 2)
         yield np.unique(runs[n][a : b - n + 1]) if n else np.empty(0, np.uint64)
 
 
+def total_words(docs: DataFrame) -> int:
+    """About how many words docs hold: their bytes by seven."""
+    return int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 7
+
+
 def prefix_length(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1
 
 
-def frequency_classes(docs: DataFrame, k: int, log2_cells: int = 20) -> np.ndarray:
-    """For each cell of a count sketch of all shingles, by how many powers of two it is above four times the mean."""
+def frequency_classes(docs: DataFrame, k: int, log2_cells: int) -> tuple[np.ndarray, dict[int, int]]:
+    """For each cell of a count sketch of all shingles, by how many powers of two it is above four times the mean; and into how many
+    blocks the regions of its shingles are cut, for cells where that is more than one."""
     size = 1 << 16
 
     def count(batches):
-        held = np.zeros(1 << log2_cells, np.int64)
+        held = np.zeros(1 << log2_cells, np.uint32)
         for batch in batches:
             for _, raw, offs in tk.slices(batch, "text"):
                 raw = _LOWER[raw]
                 starts, ends, first = tk.words(raw, offs)
                 h = tk.run_hashes(tk.word_hashes(raw, starts, ends), k, 2)[tk.inside(first, k)]
-                held += np.bincount((h >> np.uint64(64 - log2_cells)).astype(np.int64), minlength=len(held))
+                cells, n = np.unique(h >> np.uint64(64 - log2_cells), return_counts=True)
+                held[cells.astype(np.int64)] += n.astype(np.uint32)
         rows = [(s, np.flatnonzero(part), part) for s in range(len(held) // size) if (part := held[s * size : (s + 1) * size]).any()]
-        yield pa.record_batch([pa.array([s for s, _, _ in rows], pa.int32()), pa.array([u.astype(np.uint16).tobytes() for _, u, _ in rows], pa.binary()), pa.array([np.minimum(p[u], 65535).astype(np.uint16).tobytes() for _, u, p in rows], pa.binary())], names=["seg", "at", "n"])
+        places = [u.astype(np.uint16).tobytes() for _, u, _ in rows]
+        counts = [p[u].astype(np.uint8 if p.max() < 256 else np.uint32).tobytes() for _, u, p in rows]
+        yield pa.record_batch([pa.array([s for s, _, _ in rows], pa.int32()), pa.array(places, pa.binary()), pa.array(counts, pa.binary())], names=["seg", "at", "n"])
 
     def merge(batches):
         held: dict[int, np.ndarray] = {}
         for batch in batches:
             for seg, at, n in zip(*(c.to_pylist() for c in batch.columns)):
-                held.setdefault(seg, np.zeros(size, np.int64))[np.frombuffer(at, np.uint16)] += np.frombuffer(n, np.uint16)
+                held.setdefault(seg, np.zeros(size, np.int64))[np.frombuffer(at, np.uint16)] += np.frombuffer(n, np.uint8 if 2 * len(n) == len(at) else np.uint32)
         yield pa.record_batch([pa.array(list(held), pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())], names=["seg", "n"])
 
     total = np.zeros(1 << log2_cells, np.int64)
@@ -87,16 +108,19 @@ def frequency_classes(docs: DataFrame, k: int, log2_cells: int = 20) -> np.ndarr
     for seg, n in parts.collect():  # 2**log2_cells counts, whatever the input
         total[seg * size : (seg + 1) * size] = np.frombuffer(n, np.int64)
     over = total / max(total.mean() * 4, 8)
-    return np.where(over > 1, np.ceil(np.log2(np.maximum(over, 1))), 0).astype(np.uint8)
+    blocks = np.ceil((total - total.mean()) / HOT).astype(np.int64)
+    cut = np.flatnonzero((over > 1) & (blocks > 1))
+    return np.where(over > 1, np.ceil(np.log2(np.maximum(over, 1))), 0).astype(np.uint8), dict(zip(cut.tolist(), blocks[cut].tolist()))
 
 
-def signatures(docs: DataFrame, k: int, percent: int, log2_cells: int = 20) -> DataFrame:
-    """(doc_id, n, set1, set2, prefix, bins, fine) of each row: size, a 128-bit fingerprint of the set, its first shingles and its histograms."""
-    classes = docs.sparkSession.sparkContext.broadcast(frequency_classes(docs, k, log2_cells))
+def signatures(docs: DataFrame, k: int, percent: int, ranks, log2_cells: int) -> DataFrame:
+    """(doc_id, n, set1, set2, prefix, bins, fine) of each row: size, a 128-bit fingerprint of the set, its first shingles and its histograms.
+
+    ranks: the broadcast result of frequency_classes."""
     shift = np.uint64(64 - log2_cells)
 
     def sign(batches):
-        of = classes.value
+        of = ranks.value[0]
         for batch in batches:
             for piece, raw, offs in tk.slices(batch, "text"):
                 n, one, two, prefix, bins, fine = [], [], [], [], [], []
@@ -119,8 +143,45 @@ def signatures(docs: DataFrame, k: int, percent: int, log2_cells: int = 20) -> D
     return docs.mapInArrow(sign, "doc_id long, n long, set1 long, set2 long, prefix array<long>, bins binary, fine binary")
 
 
-def regions(classes: DataFrame, log2_width: int = 25) -> DataFrame:
-    """(pivot, home, doc, n, bins): each class in the regions that its window reaches, but for regions that hold it alone. home: the first of them."""
+def _complete(batches: Iterator[pa.RecordBatch], names: list[str], of: list[str]) -> Iterator[dict[str, np.ndarray]]:
+    """Columns of sorted rows in pieces that end where a group (equal in the columns of) ends. Groups are of bounded size."""
+    held = None
+
+    def column(batch, c):
+        if c == "bins":
+            return np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BINS)
+        return batch.column(c).to_numpy(zero_copy_only=False)
+
+    for batch in batches:
+        if not len(batch):
+            continue
+        cols = {c: column(batch, c) for c in names}
+        if held is not None:
+            cols = {c: np.concatenate((held[c], x)) for c, x in cols.items()}
+        last = np.ones(len(cols[names[0]]), bool)
+        for c in of:
+            last &= cols[c] == cols[c][-1]
+        split = len(last) - int(last[::-1].argmin()) if not last.all() else 0  # the last group may go on in the next batch
+        if split:
+            yield {c: x[:split] for c, x in cols.items()}
+        held = {c: x[split:] for c, x in cols.items()}
+    if held is not None:
+        yield held
+
+
+def _edges(cols: dict[str, np.ndarray], of: list[str]) -> np.ndarray:
+    """Where groups of equal rows begin."""
+    fresh = np.zeros(len(cols[of[0]]), bool)
+    fresh[:1] = True
+    for c in of:
+        fresh[1:] |= cols[c][1:] != cols[c][:-1]
+    return np.flatnonzero(fresh)
+
+
+def regions(classes: DataFrame, percent: int, ranks, log2_cells: int, log2_width: int) -> DataFrame:
+    """(pivot, blocks, block, doc, n, pos): each class in the regions that its window reaches, but for regions in which nothing can link.
+
+    pos: how many of the set's shingles come before the pivot. blocks: into how many the region is cut; block: the class's own."""
 
     def fill(batch):
         yield batch.column("prefix").flatten().to_numpy(zero_copy_only=False).view(np.uint64).copy()
@@ -128,17 +189,42 @@ def regions(classes: DataFrame, log2_width: int = 25) -> DataFrame:
     bits = classes.sparkSession.sparkContext.broadcast(merged_sketch(classes.select("prefix"), fill, log2_width))
 
     def spread(batches):
+        cut = ranks.value[1]
+        hot = np.array(sorted(cut), np.int64)
+        parts = np.array([cut[c] for c in hot.tolist()], np.int32)
         for batch in batches:
             lists = batch.column("prefix")
             pivots = lists.flatten().to_numpy(zero_copy_only=False)
-            own = np.repeat(np.arange(len(batch)), lists.value_lengths().to_numpy(zero_copy_only=False))
+            length = lists.value_lengths().to_numpy(zero_copy_only=False)
+            own = np.repeat(np.arange(len(batch)), length)
+            pos = np.arange(len(pivots)) - np.repeat(np.cumsum(length) - length, length)
             good = np.flatnonzero(estimated_twice(bits.value, pivots.view(np.uint64), log2_width))
-            home = np.diff(own[good], prepend=-1) != 0
+            doc, n = (batch.column(c).to_numpy() for c in ("doc_id", "n"))
             for a in range(0, len(good), 50_000):
-                some = pa.array(own[good[a : a + 50_000]])
-                yield pa.record_batch([pa.array(pivots[good[a : a + 50_000]]), pa.array(home[a : a + 50_000]), batch.column("doc_id").take(some), batch.column("n").take(some), batch.column("bins").take(some)], names=["pivot", "home", "doc", "n", "bins"])
-
-    return classes.select("doc_id", "n", "prefix", "bins").mapInArrow(spread, "pivot long, home boolean, doc long, n long, bins binary")
+                at = good[a : a + 50_000]
+                cell = (pivots[at].view(np.uint64) >> np.uint64(64 - log2_cells)).astype(np.int64)
+                blocks = np.ones(len(at), np.int32)
+                if len(hot):
+                    nth = np.minimum(np.searchsorted(hot, cell), len(hot) - 1)
+                    blocks = np.where(hot[nth] == cell, parts[nth], 1).astype(np.int32)
+                d = doc[own[at]]
+                block = (tk.mix(d.view(np.uint64)) % blocks.astype(np.uint64)).astype(np.int32)
+                yield pa.record_batch([pa.array(x) for x in (pivots[at], blocks, block, d, n[own[at]].astype(np.int32), pos[at].astype(np.int32))], names=["pivot", "blocks", "block", "doc", "n", "pos"])
+
+    def company(batches):
+        """Drops regions with one set, and those where no set could be the smaller one of a pair. Blocks stay, as others of their region may link."""
+        names, of = ["pivot", "blocks", "block", "doc", "n", "pos"], ["pivot", "block"]
+        for cols in _complete(batches, names, of):
+            edge = _edges(cols, of)
+            length = np.diff(np.append(edge, len(cols["doc"])))
+            smaller = cols["pos"] * (100 + percent) <= cols["n"].astype(np.int64) * (100 - percent)
+            keep = (length > 1) & np.logical_or.reduceat(smaller, edge) | (cols["blocks"][edge] > 1)
+            at = np.flatnonzero(np.repeat(keep, length))
+            yield pa.record_batch([pa.array(cols[c][at]) for c in names], names=names)
+
+    schema = "pivot long, blocks int, block int, doc long, n int, pos int"
+    rows = classes.select("doc_id", "n", "prefix").mapInArrow(spread, schema)
+    return rows.repartition("pivot", "block").sortWithinPartitions("pivot", "block").mapInArrow(company, schema)
 
 
 def _near(bins_a, bins_b, n_a, n_b, percent: int) -> np.ndarray:
@@ -148,88 +234,143 @@ def _near(bins_a, bins_b, n_a, n_b, percent: int) -> np.ndarray:
     return fits & (off * (100 + percent) <= (100 - percent) * (n_a + n_b))
 
 
-def _cells(doc, size, bins, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Round 1 in a region whose rows ascend by size: pairs of a cell's centre and its members."""
-    free = np.ones(len(doc), bool)
-    for i in range(len(doc)):
-        if not free[i]:
-            continue
-        free[i] = False
-        at = np.arange(i + 1, np.searchsorted(size, 100 * size[i] // percent, "right"))
-        cell = at[_near(bins[at], bins[i], size[at], size[i], percent)]
-        if not len(cell):
-            continue
-        free[cell] = False
-        cell = np.concatenate(([i], cell))
-        centre = int(cell[np.abs(bins[cell] - bins[cell].astype(np.float32).mean(0)).sum(1).argmin()])
-        cell = cell[doc[cell] != doc[centre]]
-        yield np.full(len(cell), doc[centre]), doc[cell]
-
-
-def _across(doc, size, bins, root, every: bool, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Rounds 2 and 3 in a large region: pairs of different components, for each set outside the main component its nearest ones or all."""
-    values, counts = np.unique(root, return_counts=True)
-    main = values[counts.argmax()]
-    for i in np.flatnonzero(root != main).tolist():
-        at = np.arange(np.searchsorted(size, -(-percent * size[i] // 100)), np.searchsorted(size, 100 * size[i] // percent, "right"))
-        at = at[root[at] != root[i]]
-        at = at[_near(bins[at], bins[i], size[at], size[i], percent)]
-        if every:
-            at = at[(root[at] == main) | (at > i)]  # each pair once
-        elif len(at) > NEAREST:
-            off = np.abs(bins[at].astype(np.int16) - bins[i].astype(np.int16)).sum(1)
-            at = at[np.argpartition(off, NEAREST)[:NEAREST]]
-        if len(at):
-            yield np.full(len(at), doc[i]), doc[at]
-
-
-def _pairs_of_regions(edge, doc, size, bins, root, turn: int, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs to compare in whole regions, which start at the rows of edge."""
-    length = np.diff(np.append(edge, len(doc)))
-    mixed = (length > 1) & (np.minimum.reduceat(root, edge) != np.maximum.reduceat(root, edge))
+class Region:
+    """The rows of one piece of regions, and what its pairs must meet."""
+
+    def __init__(self, cols: dict[str, np.ndarray], percent: int):
+        self.doc, self.bins, self.root, self.percent = cols["doc"], cols["bins"], cols["root"], percent
+        self.size, self.pos = cols["n"].astype(np.int64), cols["pos"].astype(np.int64)
+
+    def pairs(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Those of the pairs of rows that may link here: of different roots, near by size, histogram and places of the common shingle."""
+        good = self.root[a] != self.root[b]
+        a, b = a[good], b[good]
+        # The first common shingle and all after it must be enough.
+        after = np.minimum(self.size[a] - self.pos[a], self.size[b] - self.pos[b])
+        good = after * (100 + self.percent) >= self.percent * (self.size[a] + self.size[b])
+        a, b = a[good], b[good]
+        good = np.empty(len(a), bool)
+        for i in range(0, len(a), 65_536):
+            x, y = a[i : i + 65_536], b[i : i + 65_536]
+            good[i : i + 65_536] = _near(self.bins[x], self.bins[y], self.size[x], self.size[y], self.percent)
+        return a[good], b[good]
+
+    def counts(self, rows: np.ndarray) -> np.ndarray:
+        bins = self.bins[rows].astype(np.int64)
+        return np.column_stack((bins, self.size[rows] - bins.sum(1)))
+
+    def distance(self, rows: np.ndarray, pivot: int) -> np.ndarray:
+        """The histogram metric, which is never above the Jaccard distance: one minus the sum of least by the sum of largest counts.
+
+        What the bins' bytes can't count is a bin of its own."""
+        x, y = self.counts(rows), self.counts(np.array([pivot]))
+        return 1 - np.minimum(x, y).sum(1) / np.maximum(np.maximum(x, y).sum(1), 1)
+
+    def cells(self, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """First round, rows ascending by size: a cell's centre with each of its members."""
+        free = np.ones(len(rows), bool)
+        size, bins = self.size[rows], self.bins[rows]
+        for i in range(len(rows)):
+            if not free[i]:
+                continue
+            free[i] = False
+            at = np.arange(i + 1, np.searchsorted(size, 100 * size[i] // self.percent, "right"))
+            cell = at[_near(bins[at], bins[i], size[at], size[i], self.percent)]
+            if not len(cell):
+                continue
+            free[cell] = False
+            cell = np.concatenate(([i], cell))
+            centre = int(cell[np.abs(bins[cell] - bins[cell].astype(np.float32).mean(0)).sum(1).argmin()])
+            cell = cell[cell != centre]
+            yield np.full(len(cell), rows[centre]), rows[cell]
+
+    def split(self, home: np.ndarray, others: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(home, others) of cells in which every pair of a home row and another within the radius is met. others holds home."""
+        if len(others) <= CELL:
+            yield home, others
+            return
+        pivots, least = [int(others[0])], self.distance(others, int(others[0]))
+        away = [least]
+        while len(pivots) < PIVOTS:  # the farthest from those before
+            pivots.append(int(others[least.argmax()]))
+            away.append(self.distance(others, pivots[-1]))
+            least = np.minimum(least, away[-1])
+        own = np.argmin(away, axis=0)
+        at_home = np.isin(others, home)
+        for c, far in enumerate(away):
+            mine = others[at_home & (own == c)]
+            reach = others[far <= least + 2 * (1 - self.percent / 100) + 1e-9]
+            if not len(mine):
+                continue
+            if len(reach) > 0.7 * len(others):  # splitting doesn't help: blocks of pairs
+                yield mine, reach
+            else:
+                yield from self.split(mine, reach)
+
+    def across(self, rows: np.ndarray, every: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Later rounds: pairs of rows of different roots, each row outside the main component with its nearest ones or with all."""
+        values, counts = np.unique(self.root[rows], return_counts=True)
+        main = values[counts.argmax()]
+        for home, others in self.split(rows, rows):
+            home = home[self.root[home] != main]
+            step = max(1, (1 << 20) // max(len(others), 1))
+            for i in range(0, len(home), step):
+                some = home[i : i + step]
+                a, b = self.pairs(np.repeat(some, len(others)), np.tile(others, len(some)))
+                if every:
+                    good = (self.root[b] == main) | (a < b) | ~np.isin(b, home)
+                    yield a[good], b[good]
+                    continue
+                off = np.abs(self.bins[a].astype(np.int16) - self.bins[b].astype(np.int16)).sum(1)
+                order = np.lexsort((off, a))
+                a, b = a[order], b[order]
+                turn = np.flatnonzero(np.diff(a, prepend=-1))
+                nth = np.arange(len(a)) - np.repeat(turn, np.diff(np.append(turn, len(a))))
+                yield a[nth < NEAREST], b[nth < NEAREST]
+
+
+def _pairs_of_regions(region: Region, edge: np.ndarray, turn: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows to compare in whole regions, which start at the rows of edge."""
+    length = np.diff(np.append(edge, len(region.doc)))
+    mixed = (length > 1) & (np.minimum.reduceat(region.root, edge) != np.maximum.reduceat(region.root, edge))
     small = FEW if turn > 1 else 2
     for m in range(2, small + 1):
         first = edge[mixed & (length == m)]
         for i in range(m):
             for j in range(i + 1, m):
-                a, b = first + i, first + j
-                good = (root[a] != root[b]) & _near(bins[a], bins[b], size[a], size[b], percent)
-                yield doc[a[good]], doc[b[good]]
+                yield region.pairs(first + i, first + j)
     for a, m in zip(edge[mixed & (length > small)].tolist(), length[mixed & (length > small)].tolist()):
-        of = slice(a, a + m)
-        if turn == 1:
-            yield from _cells(doc[of], size[of], bins[of], percent)
-        else:
-            yield from _across(doc[of], size[of], bins[of], root[of], turn == 3, percent)
+        rows = np.arange(a, a + m)
+        yield from region.cells(rows) if turn == 1 else region.across(rows, turn == 3)
 
 
-def _candidate_pairs(spread: DataFrame, turn: int, percent: int) -> DataFrame:
-    """spread: pivot, doc, n, bins, root. Distinct pairs (a, b), a < b, to compare."""
+def _candidate_pairs(rows: DataFrame, turn: int, percent: int) -> DataFrame:
+    """rows: pivot, one, two (the blocks met), doc, n, pos, bins, root. Distinct pairs (a, b), a < b, to compare."""
+    names, of = ["pivot", "one", "two", "doc", "n", "pos", "bins", "root"], ["pivot", "one", "two"]
 
     def search(batches):
-        held = None
+        for cols in _complete(batches, names, of):
+            region = Region(cols, percent)
+            found = list(_pairs_of_regions(region, _edges(cols, of), turn))
+            a, b = (region.doc[np.concatenate(x)] for x in zip(*found)) if found else (np.empty(0, np.int64),) * 2
+            both = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b))), axis=1)
+            yield pa.record_batch([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
+
+    pairs = rows.select(*names).repartition(*of).sortWithinPartitions(*of, "n", "doc").mapInArrow(search, "a long, b long")
+    return pairs.filter("a < b").distinct()
 
-        def flush(pivot, doc, n, bins, root):
-            found = list(_pairs_of_regions(np.flatnonzero(np.concatenate(([True], pivot[1:] != pivot[:-1]))), doc, n, bins, root, turn, percent))
-            a, b = (np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.int64),) * 2
-            return pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
-        for batch in batches:
-            if not len(batch):
-                continue
-            cols = [batch.column(c).to_numpy() for c in ("pivot", "doc", "n")]
-            cols += [np.frombuffer(b"".join(batch.column("bins").to_pylist()), np.uint8).reshape(-1, BINS), batch.column("root").to_numpy()]
-            if held is not None:
-                cols = [np.concatenate(x) for x in zip(held, cols)]
-            last = int(np.searchsorted(cols[0], cols[0][-1]))  # the last region may go on in the next batch
-            if last:
-                yield flush(*(c[:last] for c in cols))
-            held = [c[last:] for c in cols]
-        if held is not None:
-            yield flush(*held)
-
-    pairs = spread.repartition("pivot").sortWithinPartitions("pivot", "n", "doc").mapInArrow(search, "a long, b long")
-    return pairs.filter("a < b").distinct()
+def _met(spread: DataFrame, heads: DataFrame, rooted: DataFrame | None) -> DataFrame:
+    """What _candidate_pairs takes. Before there are roots, each class in the first of its regions that is left; then all, and each block with every other."""
+    bins = heads.select(F.col("doc_id").alias("doc"), "bins")
+    if rooted is None:
+        least = spread.groupBy("doc").agg(F.min(F.struct("pos", "pivot", "block", "n")).alias("x"))
+        rows = least.select("doc", "x.*").withColumn("one", F.col("block")).withColumn("two", F.col("block"))
+        return rows.withColumn("root", F.col("doc")).join(bins, "doc")
+    named = bins.join(rooted.withColumnRenamed("node", "doc"), "doc", "left").select("doc", "bins", F.coalesce("root", "doc").alias("root"))
+    rows = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumn("one", F.least("block", "other")).withColumn("two", F.greatest("block", "other"))
+    return rows.join(named, "doc")
 
 
 def _closer(pairs: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
@@ -286,45 +427,66 @@ def _linked(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
     return pairs.join(two, "b").join(one, "a").mapInArrow(compare, "a long, b long").distinct()
 
 
-def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, log2_width: int = 25) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row of docs. Sets of k-word shingles link at percent / 100 or more."""
+def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, log2_width: int | None = None) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for each row of docs. Sets of k-word shingles link at percent / 100 or more.
+
+    log2_width: of the sketch that leaves out shingles of one set; by default as the words ask for."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = stash(signatures(docs, k, percent), "jaccard-sets")
-    some = signed.filter("doc_id is not null and n > 0")
-    least = some.groupBy("set1", "set2", "n").agg(F.min("doc_id").alias("head"))
-    member = some.select("doc_id", "set1", "set2", "n").join(least, ["set1", "set2", "n"]).select("doc_id", "head").distinct()
-    member = stash(member, "jaccard-classes")
-    heads = some.join(member.filter("doc_id = head").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id", "set1", "set2", "n"])
+    n_words = max(1, total_words(docs))
+    log2_cells = min(MAX_CELLS, max(MIN_CELLS, (n_words // 32).bit_length()))
+    log2_width = log2_width or min(MAX_WIDTH, max(16, (8 * n_words * (100 - percent) // 100).bit_length()))
+    ranks = docs.sparkSession.sparkContext.broadcast(frequency_classes(docs, k, log2_cells))
+    wide = stash(signatures(docs, k, percent, ranks, log2_cells), "jaccard-sets")
+    # Rows of a class have the same set, and so the same prefix and histograms.
+    of, known = ["set1", "set2", "n"], "doc_id is not null and n > 0"
+    heads = wide.filter(known).groupBy(*of).agg(F.min("doc_id").alias("doc_id"), *[F.any_value(c).alias(c) for c in ("prefix", "bins", "fine")])
     heads = stash(heads, "jaccard-heads")
-    spread = stash(regions(heads, log2_width), "jaccard-regions")
+    signed = stash(wide.select("doc_id", *of), "jaccard-sizes")
+    discard(wide)
+    member = signed.filter(known).join(heads.select(*of, F.col("doc_id").alias("head")), of).select("doc_id", "head").distinct()
+    member = stash(member, "jaccard-classes")
+    spread = stash(regions(heads, percent, ranks, log2_cells, log2_width), "jaccard-regions")
+    # Only classes with company are met again. An id whose rows have several sets heads several classes.
+    few, heads_before = heads.select("doc_id", "n", "bins", "fine").join(spread.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi"), heads
+    heads = stash(few, "jaccard-heads")
+    discard(heads_before)
     # Rows of one id are one node: each is tied to the heads of all its rows' classes.
     ties = member.filter("doc_id <> head").select(F.col("doc_id").alias("a"), F.col("head").alias("b"))
-    links = tried = rooted = None
+    tried = rooted = None
     for turn in (1, 2, 3):
-        rows = spread.filter("home") if turn == 1 else spread
-        if rooted is None:
-            labelled = rows.withColumn("root", F.col("doc"))
-        else:
-            labelled = rows.join(rooted, rows.doc == rooted.node, "left").select("pivot", "doc", "n", "bins", F.coalesce("root", "doc").alias("root"))
-        pairs = _candidate_pairs(labelled, turn, percent)
-        pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        pairs = _candidate_pairs(_met(spread, heads, rooted), turn, percent)
+        pairs = stash(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
         tried = pairs if tried is None else tried.unionByName(pairs)
-        close = cut(_closer(pairs, heads, percent))
+        close = stash(_closer(pairs, heads, percent), "jaccard-close")
         if not close.isEmpty():
-            found = cut(_linked(close, _texts_of(docs, close), k, percent))
-            links = found if links is None else links.unionByName(found)
-            rooted = cut(components(links))
-    links = ties if links is None else links.unionByName(ties)
-    node_root = cut(components(links))
-    roots = node_root.select(F.col("node").alias("__node"), "root")
+            found = stash(_linked(close, _texts_of(docs, close), k, percent), "jaccard-links")
+            # Components so far are stars; what is new links their roots.
+            links = found if rooted is None else found.unionByName(rooted.select(F.col("node").alias("a"), F.col("root").alias("b")))
+            rooted = stash(components(links), "jaccard-roots")
+        elif turn == 1:
+            rooted = heads.sparkSession.createDataFrame([], "node long, root long")
+    links = ties.unionByName(rooted.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    discard(spread)
+    discard(heads)
+    roots = stash(components(links), "jaccard-roots").select(F.col("node").alias("__node"), "root")
     sizes = signed.select("doc_id", F.col("n").alias("n_shingles"))
     return sizes.join(roots, F.col("doc_id") == F.col("__node"), "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
 
 
 def keep_one_of_each(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
-    """docs with one document of each component, the one with the least id; rows that repeat an id leave one. Rows with null ids stay."""
-    heads = jaccard_components(docs, k, percent).filter("component_id = doc_id").select(F.col("doc_id").alias("__head")).distinct()
-    known = docs.filter("doc_id is not null").join(heads, F.col("doc_id").cast("long") == F.col("__head"))
-    nth = F.row_number().over(Window.partitionBy("__head").orderBy("text"))
-    known = known.withColumn("__nth", nth).filter("__nth = 1").drop("__nth", "__head")
-    return known.unionByName(docs.filter("doc_id is null"))
+    """docs with one row of each group of linked ones, the one with the least id.
+
+    An id that repeats stands for rows of their own: rows equal in id and text leave one, others go only if they link. Rows with null ids stay."""
+    known = docs.filter("doc_id is not null")
+    own = F.col("doc_id").cast("long")
+    repeated = stash(known.groupBy(own.alias("__repeated")).count().filter("count > 1").select("__repeated"), "repeated")
+    if repeated.isEmpty():
+        nodes, node = known, own
+    else:  # a row of a repeated id goes under a hash of id and text
+        nodes = known.join(repeated, own == F.col("__repeated"), "left")
+        node = F.when(F.col("__repeated").isNull(), own).otherwise(F.xxhash64("doc_id", "text"))
+    heads = jaccard_components(nodes.select(node.alias("doc_id"), "text"), k, percent).filter("component_id = doc_id").select(F.col("doc_id").alias("__head")).distinct()
+    kept = nodes.join(heads, node == F.col("__head"), "left_semi")
+    if nodes is not known:
+        kept = kept.filter("__repeated is null").unionByName(kept.filter("__repeated is not null").dropDuplicates(["doc_id", "text"]))
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.filter("doc_id is null"))

@@ -4,6 +4,7 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
+from sumline.llm import jaccard_join
 from sumline.llm.components import components
 from sumline.llm.jaccard_join import jaccard_components
 
@@ -86,3 +87,41 @@ def test_components(spark):
     got = {x.node: x.root for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got[i] == 100 for i in range(100, 141)) and all(got[i] == 7 for i in range(500, 560))
     assert all(got[a] == got[b] <= min(a, b) for a, b in edges if a != b)
+
+
+def test_split_meets_every_near_pair(monkeypatch):
+    monkeypatch.setattr(jaccard_join, "CELL", 8)
+    r = np.random.Generator(np.random.PCG64(4))
+    bases = r.integers(0, 12, (12, jaccard_join.BINS))
+    bins = np.clip(bases[r.integers(0, 12, 300)] + r.integers(-1, 2, (300, jaccard_join.BINS)) * (r.random((300, 1)) < 0.5), 0, 255).astype(np.uint8)
+    size = bins.sum(1).astype(np.int64) + (r.random(300) < 0.1) * 500  # as if some bins were full
+    for percent in (90, 80):
+        region = jaccard_join.Region({"doc": np.arange(300), "bins": bins, "root": np.arange(300), "n": size, "pos": np.zeros(300, np.int64)}, percent)
+        met, blocks = set(), 0
+        for home, others in region.split(np.arange(300), np.arange(300)):
+            blocks += 1
+            met |= {(a, b) for a in home.tolist() for b in others.tolist()}
+        near = [(a, b) for a in range(300) for b in range(300) if a != b and region.distance(np.array([a]), b)[0] <= 1 - percent / 100]
+        assert blocks > 8 and len(near) > 300 and met.issuperset(near)
+
+
+def test_blocks_and_small_cells(spark, monkeypatch):
+    """A common shingle's region in blocks, cells of few sets."""
+    monkeypatch.setattr(jaccard_join, "HOT", 16)
+    monkeypatch.setattr(jaccard_join, "CELL", 16)
+    monkeypatch.setattr(jaccard_join, "MIN_CELLS", 14)
+    r = random.Random(3)
+    vocab = [f"v{i}" for i in range(500)]
+    family = [r.choice(vocab) for _ in range(45)]
+    rows = [(i, " ".join(w if r.random() > 0.04 else r.choice(vocab) for w in family)) for i in range(150)]
+    got = sorted(tuple(x) for x in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), log2_width=16).collect())
+    assert got == brute(rows) and 5 < len({x[2] for x in got}) < 150
+
+
+def test_words_built_to_collide(spark):
+    """Words of repeated complements, which collide in any polynomial hash modulo a power of two."""
+    one, two = "a", "b"
+    for _ in range(12):
+        one, two = one + two, two + one
+    got = {x.doc_id: x.component_id for x in jaccard_components(spark.createDataFrame([(1, one), (2, two), (3, one)], "doc_id long, text string"), log2_width=16).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
