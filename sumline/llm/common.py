@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Lists that record the folders made while they are here; see recorded().
 _recorders: list[list[str]] = []
@@ -76,3 +77,20 @@ def stash(df: DataFrame, tag: str) -> DataFrame:
 def discard(df: DataFrame) -> None:
     """Remove a table made by stash() that nothing reads any more."""
     remove_path(df.sparkSession, df._stashed_at)
+
+
+def total_words(docs: DataFrame) -> int:
+    """About how many words docs hold: the bytes of their texts by seven."""
+    return int(docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0) // 7
+
+
+def set_aside(df: DataFrame, names: list[str]) -> DataFrame:
+    """df with columns that an operator would add itself under other names; put_back() gives them their own again."""
+    clashing = {c.lower() for c in names}
+    return df.select(*[F.col(f"`{c}`").alias(f"__aside_{c}" if c.lower() in clashing else c) for c in df.columns])
+
+
+def put_back(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Those columns of df, under their own names where they were set aside."""
+    held = set(df.columns)
+    return df.select(*[F.col(f"`__aside_{c}`").alias(c) if f"__aside_{c}" in held else F.col(f"`{c}`") for c in columns])

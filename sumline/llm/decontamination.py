@@ -11,10 +11,10 @@ space, the best place of a stretch counting; candidates are checked by the longe
 subsequence of words, which finds paraphrases with words changed, added or left out.
 
 Words are compared with A-Z lower-cased and by 64-bit hashes. What is broadcast is bounded by the
-benchmark (features x RANK numbers; at most max_features words, else an error).
+benchmark: features x RANK numbers and the items' words.
 
 Defined cases. Null and empty texts and items match nothing; items that repeat a text are found
-each. Rows are judged one by one, whatever their id; repeated rows give repeated results. Without
+each; an item with a null id is searched for as any other and reported under null. Texts may be of any length. Rows are judged one by one, whatever their id; repeated rows give repeated results. Without
 benchmark items nothing is contaminated. An empty table gives an empty result. Other columns pass
 through.
 """
@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkit as tk
+from .common import put_back, set_aside
 
 BLOCK, STEP, RANK, SPARE = 32, 4, 48, 8
 COSINE = 0.5
@@ -59,16 +60,14 @@ class Items:
     bits: int
 
     @classmethod
-    def of(cls, rows: list[tuple], max_features: int) -> Items:
-        kept = sorted((i, t) for i, t in rows if t and i is not None)
+    def of(cls, rows: list[tuple]) -> Items:
+        kept = sorted(((i, t) for i, t in rows if t), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
         hashes = []
         for _, t in kept:
             data = np.frombuffer(t.encode(), np.uint8)
             hashes.append(_slice_words(data, np.array([0, len(data)]))[0])
         full = [k for k, h in enumerate(hashes) if len(h)]
         vocabulary = np.unique(np.concatenate([hashes[k] for k in full])) if full else np.empty(0, np.uint64)
-        if len(vocabulary) > max_features:
-            raise ValueError(f"the benchmark has more than {max_features} words")
         odd, bits = 0x9E3779B97F4A7C15, max(16, int(np.ceil(np.log2(max(1, len(vocabulary))))) + 6)
         while len(np.unique((vocabulary * np.uint64(odd)) >> np.uint64(64 - bits))) < len(vocabulary):
             odd = (odd * 6364136223846793005 + 1442695040888963407) % (1 << 64) | 1
@@ -147,13 +146,13 @@ def fit_space(docs: DataFrame, items: Items, rank: int = RANK, seed: int = 5) ->
     total = sum(r.total for r in rows)
     counts = np.concatenate([np.frombuffer(r.counts, np.int64) for r in rows]) if rows else np.zeros(n, np.int64)
     gram = np.concatenate([np.frombuffer(r.gram).reshape(-1, width) for r in rows]) if rows else np.zeros(omega.shape)
-    own = np.zeros((len(items.words), n))
-    for k, f in enumerate(items.words):
-        np.add.at(own[k], f, 1.0)
-    counts = counts + own.sum(0)
+    every = np.concatenate(items.words)
+    counts = counts + np.bincount(every, minlength=n)
     idf = np.log(1 + (total + 1) / np.maximum(counts, 1))
     # The items' own passages belong to the matrix as well, heavy enough to be seen in the basis.
-    gram = gram / max(total / BLOCK, 1) + own.T @ (own @ omega) / max(len(own), 1)
+    gram = gram / max(total / BLOCK, 1)
+    for f in items.words:
+        np.add.at(gram, f, omega[f].sum(0) / len(items.words))
     z, test = idf[:, None] * gram, omega / idf[:, None]
     q, _ = np.linalg.qr(z)
     core = (q.T @ z) @ np.linalg.pinv(q.T @ test)
@@ -183,10 +182,10 @@ def width_of(n: int) -> int:
     return -(-n // STEP) * STEP + 2 * (STEP + n // 8)
 
 
-def with_hits(docs: DataFrame, benchmark: DataFrame, max_features: int = 2_000_000) -> DataFrame:
-    """docs with hits: for each benchmark item found in the text item_id, lcs_words, item_words, answer_hits and answer_words, by item."""
+def with_hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """docs with hits (a column of that name is replaced): for each benchmark item found in the text item_id, lcs_words, item_words, answer_hits and answer_words, by item."""
     docs = docs.drop(HITS)
-    items = Items.of([(r[0], r[1]) for r in benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).distinct().collect()], max_features)
+    items = Items.of([(r[0], r[1]) for r in benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).distinct().collect()])
     kind = T.ArrayType(T.StructType([T.StructField(c, T.LongType()) for c in ("item_id", "lcs_words", "item_words", "answer_hits", "answer_words")]))
     if not items.ids:
         return docs.withColumn(HITS, F.array().cast(kind))
@@ -283,7 +282,7 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, max_features: int = 2_000_0
                     for (doc, _), row in found(items.features(w, table), first).items():
                         hits[doc].append(dict(zip((x.name for x in arrow.value_type), row)))
                 for h in hits:
-                    h.sort(key=lambda x: x["item_id"])
+                    h.sort(key=lambda x: (x["item_id"] is None, x["item_id"] or 0, x["item_words"], x["lcs_words"]))
                 yield pa.record_batch([*piece.columns, pa.array(hits, arrow)], names=[*piece.schema.names, HITS])
 
     return docs.mapInArrow(search, T.StructType([*docs.schema.fields, T.StructField(HITS, kind)]))
@@ -297,4 +296,4 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs in which no item is found, unchanged."""
-    return with_hits(docs, benchmark).filter(F.size(HITS) == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return put_back(with_hits(set_aside(docs, [HITS]), benchmark).filter(F.size(HITS) == 0), docs.columns)

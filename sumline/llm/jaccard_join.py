@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .common import discard, stash
+from .common import discard, stash, total_words
 from .components import components
 from .substring_dedup import estimated_twice, merged_sketch
 
@@ -68,11 +68,6 @@ def _shingle_lists(raw: np.ndarray, offs: np.ndarray, k: int) -> Iterator[np.nda
         yield np.unique(runs[n][a : b - n + 1]) if n else np.empty(0, np.uint64)
 
 
-def total_words(docs: DataFrame) -> int:
-    """About how many words docs hold: their bytes by seven."""
-    return int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 7
-
-
 def prefix_length(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1
 

@@ -8,8 +8,9 @@ no repeated window is lost. Pass 2: windows whose estimate is two or more go to
 by a 96-bit fingerprint of all k words; every window but the earliest of its group is a repeat.
 Pass 3: the words that repeats cover are taken out of each text.
 
-Only the merged sketch, 2**(log2_width + 1) bits whatever the input, is broadcast. A sketch that is too narrow
-for a corpus only sends more windows to pass 2.
+Only the merged sketch is broadcast, 2**(log2_width + 1) bits. Its width follows the words counted in the input,
+about eight cells an anchor, up to 2**MAX_WIDTH cells (128 MB of bits); a sketch that is too narrow
+for a corpus loses no window but sends more of them to pass 2.
 
 Defined cases. Null and empty texts have no words. Rows with equal document ids are one document:
 equal windows at equal positions of it are not repeats of each other, and a start that is a
@@ -28,9 +29,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkit as tk
+from .common import total_words
 
 SEGMENT = 16  # log2 of cells in a segment of the sketch
-DENSE = 24
+#: log2 of the cells up to which a task counts in whole rows, and of the widest sketch; hashes sent on together.
+DENSE, MAX_WIDTH, TOGETHER = 24, 29, 1 << 21
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 NO_ID = -(1 << 63)  # stands for a null id inside the passes
 
@@ -97,9 +100,15 @@ def merged_sketch(hashes: DataFrame, fill, log2_width: int) -> np.ndarray:
     def build(batches):
         widths = [1 << log2_width for _ in _ODD]
         if log2_width > DENSE:
+            held: list[np.ndarray] = []
             for batch in batches:
                 for g in fill(batch):
-                    yield from _sparse_rows(counted(g), widths)
+                    held.append(g)
+                    if sum(map(len, held)) >= TOGETHER:
+                        yield from _sparse_rows(counted(np.concatenate(held)), widths)
+                        held = []
+            if held:
+                yield from _sparse_rows(counted(np.concatenate(held)), widths)
             return
         counts = [np.zeros(n, np.uint8) for n in widths]
         for batch in batches:
@@ -140,9 +149,15 @@ def _ids(batch: pa.RecordBatch) -> np.ndarray:
     return batch.column("doc_id").cast(pa.int64()).fill_null(NO_ID).to_numpy(zero_copy_only=False)
 
 
-def repeated_starts(docs: DataFrame, k: int = 20, log2_width: int = 26) -> DataFrame:
+def sketch_width(n_words: int) -> int:
+    """log2 of the cells in a row of the sketch: eight for each of about n_words / 6 anchors."""
+    return min(MAX_WIDTH, max(SEGMENT, (4 * n_words // 3).bit_length()))
+
+
+def repeated_starts(docs: DataFrame, k: int = 20, log2_width: int | None = None) -> DataFrame:
     """(doc_id, starts): for documents with repeats, the starts of repeated windows as runs, start << 32 | length."""
     sc = docs.sparkSession.sparkContext
+    log2_width = log2_width or sketch_width(total_words(docs))
 
     def fill(batch):
         for _, raw, offs in tk.slices(batch, "text"):
@@ -193,7 +208,7 @@ def repeated_starts(docs: DataFrame, k: int = 20, log2_width: int = 26) -> DataF
     return repeats.groupBy("doc").agg(F.collect_list("run").alias("starts")).select(F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"), "starts")
 
 
-def dedup_substrings(docs: DataFrame, k: int = 20, log2_width: int = 26, with_text: bool = True) -> DataFrame:
+def dedup_substrings(docs: DataFrame, k: int = 20, log2_width: int | None = None, with_text: bool = True) -> DataFrame:
     """Per row of docs: doc_id, n_words, n_removed, kept_sha256, and with with_text the kept text (null for a null text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     runs = repeated_starts(docs, k, log2_width).withColumnRenamed("doc_id", "runs_of")

@@ -68,8 +68,45 @@ def record(page_id: int | None, url: str, payload: bytes, refers_to: int | None,
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def write_warc(pages: DataFrame, target: str, n_shards: int | None = None, roll_bytes: int = 16 << 20, min_bytes: int = 1000, prefix: str = "pages") -> list[dict]:
-    """Write pages (page_id, url, html) to the folder target, a URI; the manifest's entries."""
+def _commit(spark: SparkSession, target: str, temporary: str, done: list[dict], overwrite: bool) -> None:
+    """Rename the files listed in done, then the manifest. What was renamed before a failure is removed again."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    store = path(target).getFileSystem(conf)
+    manifest, renamed = path(f"{target}/manifest.json"), []
+
+    def rename(old, new) -> None:
+        if not store.rename(old, new):
+            raise OSError(f"can't rename {old.toString()} to {new.toString()}")
+
+    store.mkdirs(path(target))
+    if store.exists(manifest):
+        if not overwrite:
+            raise FileExistsError(f"{target} holds an archive already")
+        for r in spark.read.text(f"{target}/manifest.json").collect():
+            store.delete(path(f"{target}/{json.loads(r.value)['name']}"), False)
+        store.delete(manifest, False)
+    try:
+        for r in done:
+            to = path(f"{target}/{r['name']}")
+            rename(path(f"{temporary}/{r.pop('temporary')}"), to)
+            renamed.append(to)
+        stream = store.create(path(f"{target}/.manifest.json.tmp"), True)
+        stream.write(bytearray("".join(json.dumps(r) + "\n" for r in done).encode()))
+        stream.close()
+        rename(path(f"{target}/.manifest.json.tmp"), manifest)
+    except Exception:
+        for to in renamed:
+            store.delete(to, False)
+        raise
+    finally:
+        store.delete(path(f"{target}/_temporary"), True)
+
+
+def write_warc(pages: DataFrame, target: str, n_shards: int | None = None, roll_bytes: int = 16 << 20, min_bytes: int = 1000, prefix: str = "pages", overwrite: bool = False) -> list[dict]:
+    """Write pages (page_id, url, html) to the folder target, a URI; the manifest's entries.
+
+    A target that holds an archive is an error, or with overwrite its files are replaced."""
     spark = pages.sparkSession
     n_shards = n_shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     html = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
@@ -122,18 +159,7 @@ def write_warc(pages: DataFrame, target: str, n_shards: int | None = None, roll_
         yield pa.record_batch([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.string())], names=["temporary", "name", "records", "bytes", "sha1"])
 
     done = sorted((r.asDict() for r in ordered.mapInArrow(write, "temporary string, name string, records long, bytes long, sha1 string").collect()), key=lambda r: r["name"])
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
-    store = path(target).getFileSystem(conf)
-    store.mkdirs(path(target))
-    for r in done:
-        if not store.rename(path(f"{temporary}/{r.pop('temporary')}"), path(f"{target}/{r['name']}")):
-            raise OSError(f"can't rename to {target}/{r['name']}")
-    stream = store.create(path(f"{target}/.manifest.json.tmp"), True)
-    stream.write(bytearray("".join(json.dumps(r) + "\n" for r in done).encode()))
-    stream.close()
-    store.rename(path(f"{target}/.manifest.json.tmp"), path(f"{target}/manifest.json"))
-    store.delete(path(f"{target}/_temporary"), True)
+    _commit(spark, target, temporary, done, overwrite)
     return done
 
 

@@ -15,8 +15,25 @@ def test_rake_meets_margins():
     w = sm.rake(tokens, codes, targets)
     for code, goal in zip(codes, targets):
         assert np.allclose(np.bincount(code, w * tokens) / tokens.sum(), goal, atol=1e-8)
-    p = sm.probabilities(w, tokens, 0.5 * tokens.sum())
-    assert p.max() <= 1 and abs((p * tokens).sum() / tokens.sum() - 0.5) < 1e-9
+    # Goals that some mixture under the cap has: those of any probabilities.
+    q = np.minimum(1, (0.3 + r.random(5))[codes[0]] * (0.5 + r.random(3))[codes[1]] * (0.5 + r.random(4))[codes[2]])
+    goals = [np.bincount(code, q * tokens) for code in codes]
+    p = sm.calibrated(w, tokens, codes, goals)
+    assert p.max() <= 1 and (p == 1).any()
+    for code, goal in zip(codes, goals):
+        assert np.allclose(np.bincount(code, p * tokens), goal, rtol=0.01)
+
+
+def full_share(out, names):
+    held = out.groupby(out.source.fillna("?")).n_tokens.sum() / out.n_tokens.sum()
+    return held[names].sum()
+
+
+def test_goals_out_of_reach_are_reported(spark):
+    df = spark.createDataFrame([(i, "w " * 50, "a" if i % 10 else "b", "en") for i in range(500)], "doc_id long, text string, source string, lang string")
+    mix = sm.plan_mix(sm.measured(df), 0.8, {"source": {"a": 0.5, "b": 0.5}})
+    assert {(m, k) for m, k, _, _ in mix.unmet} >= {("source", "b")}
+    assert sm.plan_mix(sm.measured(df), 0.8).unmet == []
 
 
 def test_mixed(spark):
@@ -30,9 +47,12 @@ def test_mixed(spark):
     total = out.n_tokens.sum()
     kept = out[out.kept]
     assert abs(kept.n_tokens.sum() / total - 0.4) < 0.03
-    design = (kept.weight / kept.probability * kept.n_tokens).groupby(kept.source.fillna("?")).sum()
-    full = (out.weight * out.n_tokens).groupby(out.source.fillna("?")).sum() / total
-    assert np.allclose(design / total, full[design.index], atol=0.05)
+    shares = kept.groupby(kept.source.fillna("?")).n_tokens.sum() / kept.n_tokens.sum()
+    mix = sm.plan_mix(sm.measured(df), 0.4, {"source": {"b": 0.5}})
+    goal = {k: g for m, k, g, _ in mix.unmet if m == "source"}
+    assert not goal and abs(shares["b"] - 0.5 / (0.5 + full_share(out, ["a", "c", "?"]))) < 0.03
+    rows_before = {r.doc_id: r for r in df.collect()}
+    assert all(r == rows_before[r.doc_id] for r in sm.sample_mix(df).collect())
     assert sm.sample_mix(df).columns == df.columns and sm.sample_mix(df.filter("false")).count() == 0
 
 
@@ -91,7 +111,7 @@ def test_leaks_against_all_windows(spark):
             words = [x for w in words for x in (w, *foreign(r.randint(0, 1)))]
         docs.append((d, " ".join(foreign(r.randint(0, 40)) + words + foreign(r.randint(0, 40)))))
     df, bench = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")
-    known = dc.Items.of(items, 10**6)
+    known = dc.Items.of(items)
     idf, table = dc.fit_space(df, known).idf, known.table()
     want = {}
     for d, text in docs:
@@ -108,3 +128,9 @@ def test_leaks_against_all_windows(spark):
                     want[d, i] = max(want.get((d, i), (0, 0)), (n, held))
     got = {(x.doc_id, x.item_id): (x.lcs_words, x.answer_hits) for x in dc.contaminated(df, bench).collect()}
     assert len(want) > 800 and got == want
+
+
+def test_clashing_columns_stay(spark):
+    df = spark.createDataFrame([(1, "a b c", "kept as it is"), (2, "zq zr zs zt zu", "x")], "doc_id long, text string, hits string")
+    bench = spark.createDataFrame([(None, "zq zr zs zt zu")], "item_id long, text string")
+    assert dc.decontaminate(df, bench).collect() == df.filter("doc_id = 1").collect()

@@ -1,3 +1,4 @@
+import pytest
 import hashlib
 import random
 import re
@@ -124,3 +125,21 @@ def test_warc_round_trip(spark, tmp_path):
     back = {(r.page_id, r.payload) for r in read_warc(spark, f"file://{tmp_path}/a").filter("record_type = 'response'").collect()}
     assert (6, b"") in {(a, bytes(b)) for a, b in back} and (101, b"1" * 3000) in {(a, bytes(b)) for a, b in back}
     assert round_trip(df.filter("false")).count() == 0
+
+
+def test_warc_target_in_use(spark, tmp_path):
+    pages = lambda n: spark.createDataFrame([(i, "http://a", "x" * 1200) for i in range(n)], "page_id long, url string, html string")
+    target = f"file://{tmp_path}/w"
+    write_warc(pages(5), target, 4)
+    with pytest.raises(FileExistsError):
+        write_warc(pages(3), target, 4)
+    assert read_warc(spark, target).count() == 5
+    write_warc(pages(3), target, 2, overwrite=True)
+    assert read_warc(spark, target).count() == 3 and not (tmp_path / "w" / "_temporary").exists()
+
+
+def test_warc_any_partitioning(spark, tmp_path):
+    """The same archives whatever the order and the partitions of the input."""
+    pages = spark.createDataFrame([(i, f"http://a/{i}", "y" * (i * 37 % 3000)) for i in range(400)], "page_id long, url string, html string")
+    made = [[(r["name"], r["sha1"]) for r in write_warc(pages.repartition(n).orderBy(F.rand(n)), f"file://{tmp_path}/v{n}", 3, roll_bytes=3000)] for n in (1, 4, 9)]
+    assert made[0] == made[1] == made[2]

@@ -1,6 +1,8 @@
 import hashlib
 import re
 
+import numpy as np
+
 from sumline.llm.substring_dedup import dedup_substrings
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -56,3 +58,35 @@ def test_odd_tables(spark):
     got = sorted((r.doc_id or 0, r.n_removed) for r in dedup_substrings(df, 3, 16).collect())
     assert got == [(0, 0), (1, 6), (1, 6)]
     assert dedup_substrings(df.filter("false"), 3, 16).count() == 0
+
+
+def test_words_built_to_collide_stay(spark):
+    one, two = "a", "b"
+    for _ in range(12):
+        one, two = one + two, two + one
+    tail = " ".join(f"t{i}" for i in range(19))
+    got = {r.doc_id: r.n_removed for r in dedup_substrings(spark.createDataFrame([(1, f"{one} {tail}"), (2, f"{two} {tail}")], "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 0}
+
+
+def test_sketch_follows_the_input():
+    """With eight cells an anchor few windows pass that stand alone; sparse and dense counting agree."""
+    from sumline.llm import substring_dedup as sd
+
+    r = np.random.Generator(np.random.PCG64(9))
+    n_words = 600_000
+    width = sd.sketch_width(n_words)
+    anchors = r.integers(0, 2**63, n_words // 6, dtype=np.uint64)
+    hit = [np.bincount(x.astype(np.int64), minlength=1 << width) for x in sd._cells(anchors, width)]
+    passed = np.logical_and.reduce([h[x.astype(np.int64)] > 1 for h, x in zip(hit, sd._cells(anchors, width))])
+    assert passed.mean() < 0.05
+
+
+def test_wide_sketch(spark, monkeypatch):
+    from sumline.llm import substring_dedup as sd
+
+    rows = [(i, " ".join(f"w{(i * 37 + j) % 900}" for j in range(60))) for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    dense = sorted(map(tuple, dedup_substrings(df, with_text=False, log2_width=17).collect()))
+    monkeypatch.setattr(sd, "DENSE", 16)
+    assert sorted(map(tuple, dedup_substrings(df, with_text=False, log2_width=17).collect())) == dense
