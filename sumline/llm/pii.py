@@ -50,7 +50,8 @@ PATTERN = {
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[ -]?[0-9])++",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
-    "local_phone": r"(?<![+0-9(). -])(?: )?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9.-])",
+    # An area code in parentheses or with a sign after it, or a trunk zero, and groups of digits.
+    "local_phone": r"(?<![+0-9(). /-])(?: )?(?:(?:\([0-9]{2,5}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}|\(?0[0-9]{1,4}\)?(?:[ ./-][0-9]{2,4}){2,4}+)(?![0-9.-])",
     "secret": _SECRET,
 }
 #: A cheap look before the pattern runs.
@@ -59,7 +60,7 @@ HINT = {
     "ip": lambda t: t.rlike(r"[0-9]\.[0-9]+\."),
     "card": lambda t: t.rlike(r"[0-9][ -]?[0-9]"),
     "phone": lambda t: t.rlike(r"\+[0-9]"),
-    "local_phone": lambda t: t.rlike(r"[0-9][ .-][0-9]{4}"),
+    "local_phone": lambda t: t.rlike(r"[0-9][) ./-]{1,2}[0-9]{2,4}[ ./-][0-9]{2}"),
     "secret": lambda t: t.rlike(r"[=:][ \t]*+[\"']?[A-Za-z0-9+/_-]{8}"),
 }
 #: Common mail and host endings, card prefixes, dialling prefixes, names of keys.
@@ -68,7 +69,7 @@ GAZETTEER = {
     "ip": r"^(?!0\.|127\.|255\.)[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}$",
     "card": r"^(4|5[1-5]|2[2-7]|3[47]|6011|65)",
     "phone": r"^\+(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])",
-    "local_phone": r"555|^[ (]*(2|3|4|5|6|7|8|9)[0-9]{2}",
+    "local_phone": r"^[ (]*[02-9][0-9]{1,4}[) ./-]",
     "secret": rf"(?i)^{_KEY}{_SIGN}",
 }
 WORDS_BEFORE = {
@@ -143,7 +144,7 @@ def labelled(found: DataFrame) -> DataFrame:
 
     base = F.coalesce(_valid(kind, match), F.lit(False))
     secret_shape = (F.length(value) >= 12) & value.rlike("[0-9].*[0-9]") & value.rlike("[A-Za-z]")
-    shape = F.when(kind.isin(BASE), F.col("base")).when(kind == "secret", secret_shape).otherwise(match.rlike(r"\)|-.*-"))
+    shape = F.when(kind.isin(BASE), F.col("base")).when(kind == "secret", secret_shape).otherwise(match.rlike(r"\)|-.*-|^ ?0") & digits.between(8, 12))
     vote = lambda c, otherwise: F.when(c, YES).otherwise(otherwise)
     return found.withColumn("base", base).select(
         "doc_id", "text_key", "kind", "start", "end", "base",
@@ -222,8 +223,8 @@ def find_spans(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             if f.startswith(f"{name}="):
                 score = score + F.when(F.col(column).cast("string") == f[len(name) + 1 :], F.lit(w)).otherwise(0.0)
     scored = votes.withColumn("score", 1 / (1 + F.exp(-score)))
-    # A failed match of a base pattern needs its regex labeler's consent as well: it is no span of that kind.
-    return scored.filter(F.col("base") | ((F.col("score") >= threshold) & ~F.col("kind").isin(BASE) & (F.col("by_regex") == YES))).select("doc_id", "text_key", "kind", "start", "end", "base", "score")
+    # A failed match of a base pattern is no span of that kind, whatever its score; of the other kinds the classifier decides alone.
+    return scored.filter(F.col("base") | ((F.col("score") >= threshold) & ~F.col("kind").isin(BASE))).select("doc_id", "text_key", "kind", "start", "end", "base", "score")
 
 
 def span_digest(docs: DataFrame) -> DataFrame:
