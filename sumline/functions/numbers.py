@@ -51,7 +51,34 @@ def _value(num: Column, prefix: Column, percent: Column, paren: Column) -> Colum
     )
 
 
+_N = r"(?:[0-9]{1,3}(?:,[0-9]{3}){1,3}|[0-9]{1,12})(?:\.[0-9]{1,4})?"
+_SIGN = r"(?i:AED|USD|EUR|GBP|EGP|SAR|\$|£|€)"
+#: Figures as they are mostly printed, by one decoration each: sign or percent, parentheses (also turned round), currency, credit side, decimal comma.
+_POINT = rf"-?{_N}%?|{_N}-|\({_N}%?\)|\){_N}\(|{_SIGN} ?{_N}(?: ?[$£€])?|{_N} (?i:CR|DR)"
+_COMMA = r"[0-9]{1,3}(?:\.[0-9]{3}){1,3},[0-9]{1,2}|[0-9]{1,12},[0-9]{1,2}"
+_COMMON = rf"^(?:{_POINT}|{_COMMA})$"
+_SEPARATED = r"^\(?-?[0-9][0-9,]*(?:\.[0-9]+)?\)?%?$"
+
+
+def _common(s: Column) -> Column:
+    """The value of a text that is like _COMMON, by plain functions that are compiled; parse_number gives the same the long way."""
+    comma = s.rlike(f"^(?:{_COMMA})$")
+    digits = F.regexp_replace(F.when(comma, F.translate(s, ",.", ".")).otherwise(s), "[^0-9.]", "")
+    paren, percent = s.startswith("(") | s.startswith(")"), s.endswith("%")
+    negative = paren | F.contains(s, F.lit("-")) | F.lower(s).endswith("cr")
+    value = digits.cast("double") * F.when(negative, F.lit(-1.0)).otherwise(1.0) + F.lit(0.0)
+    prefix = F.regexp_extract(s, f"^{_SIGN}", 0)
+    dressed = (prefix != "") | percent | paren
+    return F.struct(value.alias("num"), F.when(dressed, prefix).alias("prefix"), F.when(dressed, F.when(percent, "%").otherwise("")).alias("suffix"), (dressed & paren).alias("paren_neg"))
+
+
 def parse_number(raw: Column) -> Column:
+    """As _parsed, with the common forms first."""
+    text = raw.cast("string")
+    return F.when(text.rlike(_COMMON), _common(text)).otherwise(_parsed(text))
+
+
+def _parsed(raw: Column) -> Column:
     """struct(num, prefix, suffix, paren_neg) of a printed figure; null if it is none.
 
     Reads thousands separators, parentheses (also reversed), leading and trailing minus, CR and DR,
@@ -113,7 +140,19 @@ def parse_number(raw: Column) -> Column:
 
 def coerce_cell(raw: Column) -> Column:
     """A cell as CELL: a number, or its text; a bare dash stays text, blanks have neither."""
-
+    text = raw.cast("string")
+    # Digits, commas and a point, in parentheses or with a percent sign: commas are separators, also a lone one.
+    neg, percent = text.startswith("(") & F.contains(text, F.lit(")")), text.endswith("%")
+    number = F.regexp_replace(text, "[()%,]", "").cast("double") * F.when(neg, F.lit(-1.0)).otherwise(1.0) + F.lit(0.0)
+    dressed = F.when(neg | percent, "")
+    void = F.lit(None).cast("string")
+    separated = F.struct(void.alias("txt"), number.alias("num"), dressed.alias("prefix"), F.when(neg | percent, F.when(percent, "%").otherwise("")).alias("suffix"), neg.alias("paren_neg"))
+    quick = _common(text)
+    common = F.struct(void.alias("txt"), *[quick[k].alias(k) for k in ("num", "prefix", "suffix")], F.coalesce(quick["paren_neg"], F.lit(False)).alias("paren_neg"))
+    return F.when(text.rlike(_SEPARATED), separated).when(text.rlike(_COMMON), common).otherwise(_coerced(text))
+
+
+def _coerced(raw: Column) -> Column:
     def cell(s: Column) -> Column:
         neg, percent = s.startswith("(") & F.contains(s, F.lit(")")), F.regexp_replace(s, r"\)+$", "").endswith("%")
         digits = F.replace(F.regexp_replace(s, r"^[()%]+|[()%]+$", ""), F.lit(","), F.lit(""))

@@ -42,14 +42,22 @@ def scanned_files(pages: DataFrame, by: str, page: str, length: Column, config:
     return first.groupBy(by).agg((F.sum(length) / F.count("*")).alias("mean_chars")).withColumn("scanned", F.col("mean_chars") < config.scanned_chars_per_page)
 
 
-def shape(rows: Column, kind: Column) -> Column:
-    """statement, mostly-text, table or small/other, by figures and long texts in the rows below the first."""
-    body = F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(0)))
-    cells = F.filter(F.flatten(F.transform(body, lambda r: r["cells"])), lambda c: c["txt"].isNotNull() | c["num"].isNotNull())
+#: Words that only a statement holds.
+STATEMENT_WORDS = ["profit for the year", "total assets", "total equity", "cash flows from operating", "total comprehensive income", "net profit for the year", "total income"]
+
+
+def shape(rows: Column) -> Column:
+    """statement where any cell's text holds STATEMENT_WORDS; else mostly-text, table or small/other by the shares of long texts and figures
+    among all cells below the first row (of a single row: in it), blank ones included."""
+    body = F.when(F.size(rows) > 1, F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(1)))).otherwise(rows)
+    cells = F.flatten(F.transform(body, lambda r: r["cells"]))
+    texts = F.flatten(F.transform(rows, lambda r: F.transform(r["cells"], lambda c: c["txt"])))
+    words = F.lower(F.array_join(F.array_compact(texts), " "))
     n = F.greatest(F.size(cells), F.lit(1))
-    long_share = F.size(F.filter(cells, lambda c: F.length(c["txt"]) > 40)) / n
-    figures = F.size(F.filter(cells, lambda c: c["num"].isNotNull())) / n
-    return F.when(kind.isin(P.STATEMENTS), "statement").when(long_share > 0.35, "mostly-text").when(figures >= 0.25, "table").otherwise("small/other")
+    long_texts = F.size(F.filter(cells, lambda c: F.length(c["txt"]) > 40))
+    figures = F.size(F.filter(cells, lambda c: c["num"].isNotNull()))
+    named = words.rlike("|".join(STATEMENT_WORDS))
+    return F.when(named, "statement").when(long_texts > 0.35 * n, "mostly-text").when(figures / n >= 0.25, "table").otherwise("small/other")
 
 
 def inventory(tables: DataFrame) -> DataFrame:

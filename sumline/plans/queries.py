@@ -474,7 +474,26 @@ def page_years(spark, sf_dir):
     return count.withColumn("k", F.row_number().over(Window.partitionBy("nation").orderBy(F.desc("count"), "year"))).filter("k <= 3").select("nation", "year")
 
 
-@query(_BASE + "select nation || '-' || year as table_id, 'statement' as shape from rep")
+@query("""
+select p_partkey, case when p_partkey % 11 = 0 then 'statement' when p_partkey % 3 = 0 and p_partkey % 9 <= 5 then 'mostly-text' when p_partkey % 9 >= 2 then 'table' else 'small/other' end as shape from part
+""")
+def table_shapes(spark, sf_dir):
+    """Tables of two rows of four cells below a header, some of them figures; every third has long texts, every eleventh a statement's words."""
+    k, none = F.col("p_partkey"), F.lit(None)
+    words = F.when(k % 11 == 0, F.concat("p_name", F.lit(" Total  Assets"))).otherwise(F.col("p_name"))
+    text = F.when(k % 3 == 0, F.rpad("p_name", 41, ".")).otherwise(F.substr("p_name", F.lit(1), F.lit(12)))
+    cell = lambda i: F.struct(F.when(k % 9 <= i, text).alias("txt"), F.when(k % 9 > i, F.col("p_retailprice")).cast("double").alias("num"))
+    row = lambda cells: F.struct(F.array(*cells).alias("cells"))
+    head = F.struct(F.replace(words, F.lit("  "), F.lit(" ")).alias("txt"), none.cast("double").alias("num"))
+    rows = F.array(row([head]), row([cell(i) for i in range(4)]), row([cell(i) for i in range(4, 8)]))
+    return read(spark, sf_dir, "part").select("p_partkey", search.shape(rows).alias("shape"))
+
+
+@query("select o_orderkey as table_id from orders where o_orderkey % 5 in (0, 1) or (o_orderkey % 3 <> 0 and o_orderkey % 4 >= 2)")
 def inventory(spark, sf_dir):
-    tables = keep(foot(_read(spark, sf_dir, "income", restate=True)))
-    return search.inventory(tables.withColumn("shape", search.shape(F.col("rows"), F.col("kind")))).select("table_id", "shape")
+    """Statements and notes, and of other tables those that aren't mostly text and have three rows."""
+    k = F.col("o_orderkey")
+    kind = F.when(k % 5 == 0, F.lit(search.P.STATEMENTS[0])).when(k % 5 == 1, "note").otherwise("table")
+    shape = F.when(k % 3 == 0, "mostly-text").otherwise("table")
+    tables = read(spark, sf_dir, "orders").select(k.alias("table_id"), kind.alias("kind"), shape.alias("shape"), F.sequence(F.lit(0), (k % 4).cast("int")).alias("rows"))
+    return search.inventory(tables).select("table_id")
