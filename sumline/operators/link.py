@@ -58,6 +58,47 @@ def ratio(a: Column, b: Column) -> Column:
     return of(a, b)
 
 
+#: From what ratio on two keys are one line under two wordings, and the ratio of a key that holds the other.
+SAME_LINE, HOLDS = 0.82, 0.9
+
+
+def paired_keys(keys_a: DataFrame, keys_b: DataFrame, by: list[str]) -> DataFrame:
+    """(by, a_key, b_key): the keys of two reports, equal ones paired, others by likeness, greedily in a's order; what is left alone.
+
+    keys: by, key, at (its place in the report). Only keys that the other side lacks are compared, within one pair of tables; the
+    greedy choice is a fold over a's lone keys."""
+    a = keys_a.groupBy(*by, "key").agg(F.min("at").alias("at"))
+    b = keys_b.groupBy(*by, "key").agg(F.min("at").alias("at"))
+    both = a.withColumnRenamed("at", "a_at").join(b.withColumnRenamed("at", "b_at"), [*by, "key"], "full_outer")
+    lone_a = both.filter("b_at is null").select(*by, F.col("key").alias("a_key"), "a_at")
+    lone_b = both.filter("a_at is null").select(*by, F.col("key").alias("b_key"), "b_at")
+    held = F.when(F.contains("a_key", F.col("b_key")) | F.contains("b_key", F.col("a_key")), HOLDS).otherwise(0.0)
+    scored = lone_a.join(lone_b, by).withColumn("s", F.greatest(ratio(F.col("a_key"), F.col("b_key")), held)).filter(F.col("s") >= SAME_LINE)
+    # Best first, the earlier of equals.
+    options = F.array_sort(F.collect_list(F.struct((-F.col("s")).alias("s"), "b_at", "b_key")))
+    wishes = scored.groupBy(*by, "a_key", "a_at").agg(F.transform(options, lambda x: x["b_key"]).alias("wish"))
+    turns = wishes.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("a_at", "a_key", "wish"))).alias("turns"))
+    none = F.array().cast("array<struct<a_key:string,b_key:string>>")
+
+    def choose(taken: Column, turn: Column) -> Column:
+        # A key's best match counts among what is left when its turn comes.
+        free = F.filter(turn["wish"], lambda w: ~F.exists(taken, lambda t: t["b_key"] == w))
+        return F.when(F.size(free) > 0, F.concat(taken, F.array(F.struct(turn["a_key"].alias("a_key"), F.get(free, F.lit(0)).alias("b_key"))))).otherwise(taken)
+
+    chosen = turns.select(*by, F.inline(F.aggregate("turns", none, choose)))
+    same = both.filter("a_at is not null and b_at is not null").select(*by, F.col("key").alias("a_key"), F.col("key").alias("b_key"))
+    rest_a = lone_a.join(chosen, [*by, "a_key"], "left_anti").select(*by, "a_key", F.lit(None).cast("string").alias("b_key"))
+    rest_b = lone_b.join(chosen, [*by, "b_key"], "left_anti").select(*by, F.lit(None).cast("string").alias("a_key"), "b_key")
+    return same.unionByName(chosen).unionByName(rest_a).unionByName(rest_b)
+
+
+def with_paired_keys(items_a: DataFrame, items_b: DataFrame, by: list[str]) -> DataFrame:
+    """items_b under the keys of a's lines, where they are the same lines under other wordings, for diff_tables."""
+    pairs = paired_keys(items_a.select(*by, "key", "at"), items_b.select(*by, "key", "at"), by).filter("a_key is not null and b_key is not null and a_key <> b_key")
+    renamed = items_b.join(pairs.select(*by, F.col("b_key").alias("key"), "a_key"), [*by, "key"], "left")
+    return renamed.withColumn("key", F.coalesce("a_key", "key")).drop("a_key")
+
+
 def diff_tables(items_a: DataFrame, items_b: DataFrame, by: list[str]) -> DataFrame:
     """Lines of paired tables side by side: by, key, label, a_cur, a_prev, b_cur, b_prev, change, change_pct, restated, status.
 
@@ -100,6 +141,24 @@ def match_tables(a: DataFrame, b: DataFrame) -> DataFrame:
     return pairs.groupBy("report").applyInPandas(greedy, "report string, a_id string, b_id string")
 
 
+def stitched(tables: DataFrame, analyse) -> DataFrame:
+    """tables with each unfinished statement joined to the table that goes on with it, which goes; stitched_from: that table's page.
+
+    analyse(tables) reads rows anew; where that makes the statement another kind the join is taken back and both tables stay.
+    Of statements that ask for the same table the first gets it, and a table that is itself joined to another isn't given away."""
+    pairs = continuations(tables).join(tables.select("table_id", "table_ord"), "table_id")
+    nth = F.row_number().over(Window.partitionBy("next_id").orderBy("table_ord"))
+    pairs = pairs.withColumn("__n", nth).filter("__n = 1").select("table_id", "next_id")
+    pairs = pairs.join(pairs.select(F.col("next_id").alias("table_id")), "table_id", "left_anti")
+    following = tables.select(F.col("table_id").alias("next_id"), F.col("rows").alias("__more"), F.col("page").alias("stitched_from"))
+    open_ones = tables.join(pairs, "table_id").join(following, "next_id")
+    longer = open_ones.withColumn("rows", F.concat("rows", "__more")).drop("__more")
+    read_again = analyse(longer)
+    good = read_again.filter(F.col("kind").isin(P.STATEMENTS[:2]))
+    rest = tables.join(good.select("table_id"), "table_id", "left_anti").join(good.select(F.col("next_id").alias("table_id")), "table_id", "left_anti")
+    return rest.withColumn("stitched_from", F.lit(None).cast(tables.schema["page"].dataType)).unionByName(good.select(*tables.columns, "stitched_from"))
+
+
 def continuations(tables: DataFrame) -> DataFrame:
     """(table_id, next_id): an unfinished statement and the table that goes on with it on the same or the next page."""
     order = Window.partitionBy("file").orderBy("table_ord")
