@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import stash
 
 TURN, END = "<|turn|>", "<|end|>"
 #: Strings that steer common chat templates.
@@ -63,9 +63,9 @@ def linear_nodes(rows: DataFrame) -> DataFrame:
 
 def root_to_leaf_paths(nodes: DataFrame) -> DataFrame:
     """(conv_id, leaf, node, dist): every node on the path from each leaf up to its root, dist steps above the leaf."""
-    ids = cut(nodes.select("conv_id", "node", "parent"))
+    ids = stash(nodes.select("conv_id", "node", "parent"), "trees")
     up = ids.alias("a").join(ids.alias("b"), F.expr("a.conv_id <=> b.conv_id and a.parent = b.node"), "left")
-    jump = cut(up.select("a.conv_id", "a.node", F.col("b.node").alias("to")))
+    jump = stash(up.select("a.conv_id", "a.node", F.col("b.node").alias("to")), "trees")
     heard = jump.filter("to is not null").select("conv_id", F.col("to").alias("node")).distinct()
     path = jump.alias("a").join(heard.alias("h"), F.expr("a.conv_id <=> h.conv_id and a.node = h.node"), "left_anti").select("conv_id", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("dist"))
     longest = ids.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 0
@@ -73,10 +73,10 @@ def root_to_leaf_paths(nodes: DataFrame) -> DataFrame:
     while step < longest:
         live = jump.filter("to is not null")
         more = path.alias("p").join(live.alias("j"), F.expr("p.conv_id <=> j.conv_id and p.node = j.node")).select("p.conv_id", "p.leaf", F.col("j.to").alias("node"), (F.col("p.dist") + step).alias("dist"))
-        path = cut(path.unionByName(more))
+        path = stash(path.unionByName(more), "trees")
         step *= 2
         if step < longest:
-            jump = cut(live.alias("a").join(live.alias("b"), F.expr("a.conv_id <=> b.conv_id and a.to = b.node")).select("a.conv_id", "a.node", F.col("b.to").alias("to")))
+            jump = stash(live.alias("a").join(live.alias("b"), F.expr("a.conv_id <=> b.conv_id and a.to = b.node")).select("a.conv_id", "a.node", F.col("b.to").alias("to")), "trees")
             if jump.isEmpty():
                 break
     return path
