@@ -34,6 +34,8 @@ from .common import total_words
 SEGMENT = 16  # log2 of cells in a segment of the sketch
 #: log2 of the cells up to which a task counts in whole rows, and of the widest sketch; hashes sent on together.
 DENSE, MAX_WIDTH, TOGETHER = 24, 29, 1 << 21
+#: Bytes of a merged sketch that the driver fetches in one job.
+AT_ONCE = 32 << 20
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 NO_ID = -(1 << 63)  # stands for a null id inside the passes
 
@@ -132,7 +134,8 @@ def merged_sketch(hashes: DataFrame, fill, log2_width: int) -> np.ndarray:
     merged = parts.repartition(64, "seg").mapInArrow(merge, "seg int, bits binary")
     out = np.zeros((len(_ODD) << log2_width) >> 3, np.uint8)
     size = (1 << SEGMENT) >> 3
-    for seg, bits in merged.toLocalIterator():  # a number of segments fixed by the width, a partition at a time
+    # A number of segments fixed by the width: up to AT_ONCE bytes in one job, more a partition at a time, one job for each.
+    for seg, bits in merged.collect() if len(out) <= AT_ONCE else merged.toLocalIterator(prefetchPartitions=True):
         out[seg * size : (seg + 1) * size] = np.frombuffer(bits, np.uint8)
     return out
 
