@@ -51,12 +51,12 @@ def _slice_words(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 @dataclass
 class Items:
-    """The benchmark and its words. slot: from a word's hash to its feature."""
+    """The benchmark and its words. A word's feature is found by a slot of its hash; after: the next feature of the same slot, -1 for none."""
 
     ids: list
     words: list[np.ndarray]  # features of each item's words
     vocabulary: np.ndarray
-    odd: int
+    after: np.ndarray
     bits: int
 
     @classmethod
@@ -68,24 +68,33 @@ class Items:
             hashes.append(_slice_words(data, np.array([0, len(data)]))[0])
         full = [k for k, h in enumerate(hashes) if len(h)]
         vocabulary = np.unique(np.concatenate([hashes[k] for k in full])) if full else np.empty(0, np.uint64)
-        odd, bits = 0x9E3779B97F4A7C15, max(16, int(np.ceil(np.log2(max(1, len(vocabulary))))) + 6)
-        while len(np.unique((vocabulary * np.uint64(odd)) >> np.uint64(64 - bits))) < len(vocabulary):
-            odd = (odd * 6364136223846793005 + 1442695040888963407) % (1 << 64) | 1
-            bits = min(bits + 1, 26)
-        self = cls([kept[k][0] for k in full], [], vocabulary, odd, bits)
-        self.words = [self.features(hashes[k]) for k in full]
+        n = len(vocabulary)
+        self = cls([kept[k][0] for k in full], [], vocabulary, np.full(n, -1, np.int32), max(16, n.bit_length() + 4))
+        slots = self.slots(vocabulary)
+        order = np.argsort(slots, kind="stable")
+        same = np.flatnonzero(np.diff(slots[order]) == 0)
+        self.after[order[same]] = order[same + 1]
+        table = self.table()
+        self.words = [self.features(hashes[k], table) for k in full]
         return self
 
+    def slots(self, w: np.ndarray) -> np.ndarray:
+        return ((w * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
     def table(self) -> np.ndarray:
+        """The first feature of each slot, -1 for none; the slots grow with the vocabulary alone."""
         out = np.full(1 << self.bits, -1, np.int32)
-        out[((self.vocabulary * np.uint64(self.odd)) >> np.uint64(64 - self.bits)).astype(np.int64)] = np.arange(len(self.vocabulary))
+        out[self.slots(self.vocabulary)[::-1]] = np.arange(len(self.vocabulary))[::-1]
         return out
 
     def features(self, w: np.ndarray, table: np.ndarray | None = None) -> np.ndarray:
         """The feature of each word, -1 for others."""
-        table = self.table() if table is None else table
-        at = table[((w * np.uint64(self.odd)) >> np.uint64(64 - self.bits)).astype(np.int64)]
-        return np.where((at >= 0) & (self.vocabulary[at] == w), at, -1)
+        at = (self.table() if table is None else table)[self.slots(w)]
+        astray = np.flatnonzero(at >= 0)
+        while len(astray := astray[self.vocabulary[at[astray]] != w[astray]]):
+            at[astray] = self.after[at[astray]]
+            astray = astray[at[astray] >= 0]
+        return at
 
 
 @dataclass

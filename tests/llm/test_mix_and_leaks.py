@@ -130,6 +130,19 @@ def test_leaks_against_all_windows(spark):
     assert len(want) > 800 and got == want
 
 
+def test_features_of_many_words():
+    words = [f"w{i}" for i in range(20_000)]
+    known = dc.Items.of([(k, " ".join(words[k::40])) for k in range(40)])
+    table = known.table()
+    assert len(known.vocabulary) == len(words) and table.nbytes <= 256 * len(words)  # grows with the words, not with their pairs
+    assert (known.after >= 0).any()  # some share a slot
+    assert known.features(known.vocabulary, table).tolist() == list(range(len(words))) == sorted(np.concatenate(known.words).tolist())
+    others = " ".join(f"x{i}" for i in range(20_000)).encode()
+    raw = np.frombuffer(others, np.uint8)
+    assert (known.features(dc._slice_words(raw, np.array([0, len(raw)]))[0], table) == -1).all()
+    assert dc.Items.of([(1, ""), (2, None), (3, " ")]).ids == []
+
+
 def test_clashing_columns_stay(spark):
     df = spark.createDataFrame([(1, "a b c", "kept as it is"), (2, "zq zr zs zt zu", "x")], "doc_id long, text string, hits string")
     bench = spark.createDataFrame([(None, "zq zr zs zt zu")], "item_id long, text string")
