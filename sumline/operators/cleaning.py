@@ -162,7 +162,9 @@ def strip_note_refs(tables: DataFrame, grid: str = "grid") -> DataFrame:
     pairs = lambda ref: F.filter(F.transform("__r", lambda r: F.struct(key(r).alias("key"), ref(r).alias("value"))), lambda p: (p["key"] != "") & p["value"].isNotNull())
     from_column = F.when(F.col("__gone") & (F.col("__n") >= 2), pairs(lambda r: F.when((F.size(r["cells"]) >= 4) & _filled(F.get(r["cells"], F.lit(1))), F.trim(F.get(r["cells"], F.lit(1))))))
     every = F.concat(F.coalesce(F.reverse(from_column), F.array().cast("array<struct<key:string,value:string>>")), pairs(lambda r: r["ref"]))
-    unique = let(every, lambda e: F.filter(e, lambda p, i: ~F.exists(F.slice(e, 1, i), lambda q: q["key"] == p["key"])))
+    # The first of each key: sorted by key and place, those that differ from the one before, so that long tables need no look back at all rows.
+    placed = F.array_sort(F.transform(every, lambda p, i: F.struct(p["key"].alias("key"), i.alias("at"), p["value"].alias("value"))))
+    unique = let(placed, lambda e: F.transform(F.filter(e, lambda p, i: (i == 0) | (p["key"] != F.get(e, i - 1)["key"])), lambda p: F.struct(p["key"].alias("key"), p["value"].alias("value"))))
     rows = F.transform("__r", lambda r: F.when(F.col("__gone") & (F.size(r["cells"]) >= 4), F.concat(F.slice(r["cells"], 1, 1), F.slice(r["cells"], 3, F.greatest(F.size(r["cells"]) - 2, F.lit(0))))).otherwise(r["cells"]))
     return out.withColumn(grid, rows).withColumn("note_refs", F.map_from_entries(unique)).drop("__r", "__2", "__wide", "__gone", "__n")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import cleaning, profiles, regions
@@ -49,9 +49,13 @@ def note_references(spark, sf_dir):
     s = _suppliers(spark, sf_dir)
     ref, odd = (F.col("s_suppkey") % 20 + 1).cast("string"), F.col("s_suppkey") % 2 == 1
     grids = _grids(s, "s_nationkey", "s_suppkey", F.when(odd, F.concat_ws(" ", "s_name", ref)).otherwise(F.col("s_name")), F.when(odd, F.col("v")).otherwise(F.concat_ws(" ", ref, "v")))
-    rows = cleaning.strip_note_refs(grids).select("note_refs", F.explode("grid").alias("r"))
-    name = F.get("r", F.lit(0))
-    return rows.select(name.alias("s_name"), F.try_element_at("note_refs", F.lower(name)).alias("ref"), F.get("r", F.lit(1)).alias("v"))
+    name = lambda r: F.get(r, F.lit(0))
+    line = F.transform("grid", lambda r: F.struct(F.lower(name(r)).alias("key"), _text().alias("ref"), r.alias("r")))
+    noted = F.transform(F.map_entries("note_refs"), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("ref"), F.lit(None).cast("array<string>").alias("r")))
+    # References meet their lines by key; a map beside every line of a long table would be copied and searched as often as there are lines.
+    rows = cleaning.strip_note_refs(grids).select("s_nationkey", F.inline(F.concat(line, noted)))
+    rows = rows.withColumn("ref", F.max("ref").over(Window.partitionBy("s_nationkey", "key"))).filter("r is not null")
+    return rows.select(name("r").alias("s_name"), "ref", F.get("r", F.lit(1)).alias("v"))
 
 
 @query("""

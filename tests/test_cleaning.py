@@ -1,9 +1,12 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from sumline.functions import patterns as P  # noqa: F401
 from sumline.operators import cleaning as C
 from sumline.operators import profiles, regions
+from sumline.plans import repairs
 
 
 def grid(spark, rows):
@@ -59,6 +62,17 @@ def test_note_refs(spark):
     assert C.strip_note_refs(grid(spark, [])).first().grid == []
 
 
+def test_note_refs_of_a_long_table(spark, tmp_path):
+    n = 12_000
+    name = F.format_string("Supplier#%09d", F.col("id") % (n - 5))  # the last five repeat the first five's names
+    suppliers = spark.range(n).select(F.col("id").alias("s_suppkey"), name.alias("s_name"), F.lit(3).alias("s_nationkey"), (F.col("id") + 1000.0).alias("s_acctbal"))
+    suppliers.coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    began = time.monotonic()
+    got = sorted((r.v, r.s_name, r.ref) for r in repairs.note_references(spark, str(tmp_path)).collect())
+    assert time.monotonic() - began < 60  # a map beside every line takes minutes
+    assert got == sorted((f"{i + 1000:,}", f"Supplier#{i % (n - 5):09d}", str(i % (n - 5) % 20 + 1)) for i in range(n))
+
+
 @pytest.mark.parametrize(
     ("f", "vals", "want"),
     [
