@@ -61,11 +61,18 @@ TITLES = {
 }
 #: A report is wrong by this much in its current year where (nation * 7 + year) is divisible by 5.
 ERROR, EVERY = 777_777, 5
+#: A restated line differs by this much, at least.
+RESTATED = 12_345
+
+
+def planted(least: int, of: Column) -> Column:
+    """What a figure is wrong by: a thousandth of a large amount, as the tolerances of cash flows and of years compared grow with it."""
+    return F.greatest(F.lit(least), F.floor(F.abs(of) / 1000)).cast("long")
 
 
 def report_cells(spark: SparkSession, sf_dir: str, what: str, restate: bool = False) -> DataFrame:
     """Cells of one statement for each nation and year with the year before beside it. restate: prior columns of every
-    third nation differ from what was first reported in one line."""
+    third nation differ from what was first reported in one line. What is planted shows at any size of the figures."""
     title, lines = TITLES[what]
     base = nation_years(spark, sf_dir)
     prior = base.select("nation", (F.col("year") + 1).alias("year"), F.col("revenue").alias("before"))
@@ -76,7 +83,7 @@ def report_cells(spark: SparkSession, sf_dir: str, what: str, restate: bool = Fa
     cells = [cell(0, 0, F.lit("")), cell(0, 1, F.col("year").cast("string")), cell(0, 2, (F.col("year") - 1).cast("string"))]
     for i, ((label, v), (_, w)) in enumerate(zip(now, old), 1):
         if restate and i == 5:
-            w = w + F.when(F.col("nation") % 3 == 0, 12_345).otherwise(0)
+            w = w + F.when(F.col("nation") % 3 == 0, planted(RESTATED, w)).otherwise(0)
         cells += [cell(i, 0, F.lit(label)), cell(i, 1, printed(v)), cell(i, 2, printed(w))]
     report = F.concat_ws("-", F.col("nation").cast("string"), F.col("year").cast("string"))
     return both.select(report.alias("table_id"), F.concat(F.lit("report "), report, F.lit(".pdf")).alias("file"), F.lit(1).alias("page"), (F.col("nation") * 10_000 + F.col("year")).cast("int").alias("table_ord"), F.lit(title).alias("title"), F.explode(F.array(*cells)).alias("x")).select("table_id", "file", "page", "table_ord", "title", "x.*")

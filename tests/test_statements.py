@@ -1,3 +1,5 @@
+import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -5,6 +7,7 @@ from sumline.functions.numbers import keep
 from sumline.operators.footing import foot
 from sumline.operators.health import with_health
 from sumline.operators.statements import assemble, merge_wrapped, read_tables, reversed_years
+from sumline.plans import queries
 from sumline.sources.tables import CELLS
 
 PL = ("Consolidated statement of profit or loss", [["", 2024, 2023], ["Revenue", 1000000, 900000], ["Cost of sales", -400000, -350000], ["Gross profit", 600000, 550000], ["Operating expenses", -200000, -180000], ["Finance costs", -50000, -40000], ["Profit before tax", 350000, 330000], ["Income tax", -50000, -30000], ["Profit for the year", 300000, 300000]])
@@ -71,3 +74,14 @@ def test_empty(spark):
     assert foot(read_tables(assemble(spark.createDataFrame([], CELLS)))).count() == 0
 
 
+def _large_reports(spark, folder):
+    """Orders of five nations and three years whose figures are in the tens of billions."""
+    spark.createDataFrame([(n, n) for n in range(5)], "c_custkey long, c_nationkey int").write.parquet(f"{folder}/customer.parquet")
+    orders = [(n, datetime.datetime(y, 6, 1), 2e10 + 1e9 * n + 1e8 * (y - 1995)) for n in range(5) for y in (1995, 1996, 1997)]
+    spark.createDataFrame(orders, "o_custkey long, o_orderdate timestamp, o_totalprice double").write.parquet(f"{folder}/orders.parquet")
+    return str(folder)
+
+
+def test_restated_lines_of_large_reports_show(spark, tmp_path):
+    got = {(r.table_id, r.mismatch, r.verdict) for r in queries.cross_year_verdict(spark, _large_reports(spark, tmp_path)).collect()}
+    assert got == {(f"{n}-{y}", int(n % 3 == 0), "agree" if n % 3 else "restated") for n in range(5) for y in (1996, 1997)}
