@@ -59,7 +59,7 @@ TITLES = {
     "income": ("Consolidated statement of profit or loss", income_lines), "balance": ("Consolidated statement of financial position", balance_lines),
     "cash": ("Consolidated statement of cash flows", cash_lines), "equity": ("Consolidated statement of changes in equity", equity_lines),
 }
-#: A report is wrong by this much in its current year where (nation * 7 + year) is divisible by 5.
+#: A report is wrong by this much, at least, in its current year where (nation * 7 + year) is divisible by 5.
 ERROR, EVERY = 777_777, 5
 #: A restated line differs by this much, at least.
 RESTATED = 12_345
@@ -77,7 +77,7 @@ def report_cells(spark: SparkSession, sf_dir: str, what: str, restate: bool = Fa
     base = nation_years(spark, sf_dir)
     prior = base.select("nation", (F.col("year") + 1).alias("year"), F.col("revenue").alias("before"))
     both = base.join(prior, ["nation", "year"])
-    wrong = F.when((F.col("nation") * 7 + F.col("year")) % EVERY == 0, F.lit(ERROR)).otherwise(0).cast("long")
+    wrong = F.when((F.col("nation") * 7 + F.col("year")) % EVERY == 0, planted(ERROR, F.col("revenue"))).otherwise(0).cast("long")
     now, old = lines(F.col("revenue"), F.lit(0).cast("long") if restate else wrong), lines(F.col("before"), F.lit(0).cast("long"))
     cell = lambda r, c, x: F.struct(F.lit(r).alias("row_idx"), F.lit(c).alias("col_idx"), x.alias("raw"))
     cells = [cell(0, 0, F.lit("")), cell(0, 1, F.col("year").cast("string")), cell(0, 2, (F.col("year") - 1).cast("string"))]

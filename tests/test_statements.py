@@ -82,6 +82,11 @@ def _large_reports(spark, folder):
     return str(folder)
 
 
+def test_errors_of_large_cash_flows_show(spark, tmp_path):
+    got = {(r.table_id, r.year): r.ok for r in queries.foot_cashflow(spark, _large_reports(spark, tmp_path)).collect()}
+    assert got == {(f"{n}-{y}", str(x)): x < y or (n * 7 + y) % 5 != 0 for n in range(5) for y in (1996, 1997) for x in (y, y - 1)}
+
+
 def test_restated_lines_of_large_reports_show(spark, tmp_path):
     got = {(r.table_id, r.mismatch, r.verdict) for r in queries.cross_year_verdict(spark, _large_reports(spark, tmp_path)).collect()}
     assert got == {(f"{n}-{y}", int(n % 3 == 0), "agree" if n % 3 else "restated") for n in range(5) for y in (1996, 1997)}
