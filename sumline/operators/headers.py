@@ -48,9 +48,11 @@ def split_year_unit(grid: Column) -> Column:
     return F.when(F.size(grid) > 0, let(F.get(grid, F.lit(0)), of)).otherwise(grid)
 
 
-def shift_missing_notes(rows: Column) -> Column:
-    """Where some row has a note reference behind its label, rows without one that end in a blank take a blank there, so that figures line up."""
-    is_ref = lambda c: F.coalesce(_shown(c).rlike(NOTE_REF), F.lit(False))
+def shift_missing_notes(rows: Column, numbers_refer: bool = True) -> Column:
+    """Where some row has a note reference behind its label, rows without one that end in a blank take a blank there, so that figures line up.
+
+    numbers_refer: whether whole numbers below 100 are references too, as where cells were typed by their look; else only texts are, and small figures are figures."""
+    is_ref = lambda c: F.coalesce((_shown(c) if numbers_refer else F.trim(c["txt"])).rlike(NOTE_REF), F.lit(False))
     is_value = lambda c: F.coalesce(c["num"].isNotNull() | (F.trim(c["txt"]) == "-"), F.lit(False))
     at = lambda r, i: F.get(r, F.lit(i))
 

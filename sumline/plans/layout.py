@@ -137,7 +137,7 @@ def shifted_notes(spark, sf_dir):
     without = F.array(_cell(F.col("s_name")), _cell(number=F.col("s_acctbal")), _cell(number=F.lit(3)), _cell())
     row = F.struct(k, F.when(k % 3 == 0, with_ref).otherwise(without).alias("r"))
     grids = read(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.array_sort(F.collect_list(row), lambda a, b: (a["s_suppkey"] - b["s_suppkey"]).cast("int")).alias("x"))
-    moved = headers.shift_missing_notes(F.transform("x", lambda x: x["r"]))
+    moved = headers.shift_missing_notes(F.transform("x", lambda x: x["r"]), numbers_refer=False)  # references are texts here
     rows = grids.select(F.explode(F.arrays_zip(F.transform("x", lambda x: x["s_suppkey"]).alias("k"), moved.alias("r"))).alias("z"))
     first = F.array_position(F.transform("z.r", lambda c: (c["num"].isNotNull() | (c["txt"] == "7, 12")).cast("int")), 1) - 1
     return rows.select(F.col("z.k").alias("s_suppkey"), first.cast("int").alias("value_at"))

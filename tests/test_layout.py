@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from sumline.operators import headers, link, pages
+from sumline.plans import layout
 
 ROW = "array<struct<txt:string,num:double>>"
 
@@ -33,6 +34,16 @@ def test_shift_missing_notes(spark):
     assert [tuple(c) for c in shift([bare])[0]] == bare and shift([]) == []
 
 
+def test_small_figures_are_no_references(spark, tmp_path):
+    suppliers = [(0, "a", 1, 10.5), (1, "b", 1, 45.0), (2, "c", 1, 0.0), (4, "d", 1, 99.0), (5, "e", 1, 100.0), (1, "f", 2, 7.0), (2, "g", 2, 700.0)]
+    spark.createDataFrame(suppliers, "s_suppkey long, s_name string, s_nationkey int, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    got = sorted(tuple(r) for r in layout.shifted_notes(spark, str(tmp_path)).collect())
+    assert got == [(0, 1), (1, 1), (1, 2), (2, 1), (2, 2), (4, 2), (5, 2)]
+    # Cells typed by their look: a small whole number is a reference and stays.
+    ref, small = [("a", None), (None, 4.0), (None, 10.0)], [("b", None), (None, 45.0), (None, 3.0), (None, None)]
+    assert [tuple(c) for c in one(spark, headers.shift_missing_notes, [ref, small], f"array<{ROW}>")[1]] == small
+
+
 def test_clean_cell(spark):
     cases = [("(1,234)", None, -1234.0), (")1,234(", None, -1234.0), ("$ 5", None, 5.0), ("5 %", None, 5.0), ("1 2", "1 2", None), (" \n", None, None), (None, None, None), ("a\nb", "a b", None), ("-", "-", None)]
     df = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "i int, v string")
